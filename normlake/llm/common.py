@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from normlake.session import ensure_code
+
 #: Rows of an Arrow batch: whole texts of any length have to fit in a Python worker.
 BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,6 +56,7 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
             for at in range(0, b.num_rows, BATCH_ROWS):
                 yield function(b.slice(at, BATCH_ROWS))
 
+    ensure_code(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -5,11 +5,12 @@ of the two 32-bit halves differs in at most one bit. A half is a 23-bit segment
 bits, the segments are equal: the segment itself is a key. Otherwise the 9 bits are equal and the segments differ in at most one bit:
 the perfect binary Golay code (23, 12, 7) puts each segment within 3 bits of one codeword; two segments at distance 1 that decode to
 different codewords are each at distance 3 from their own and at distance 4 from the other's. So the keys of a half are its codeword,
-and, if that is 3 bits away, the five codewords 4 bits away, each with the 9 bits. Every link of 3 bits or fewer shares a key.
+and, if that is 3 bits away, the five codewords 4 bits away, each with the 9 bits. The other half differs in at most three bits, so that
+one of its four bytes is equal: each key is joined with each of them. Every link of 3 bits or fewer shares a key of 29 bits or more.
 
-Within a key candidates are verified by Hamming distance and only a spanning forest of the links goes on, never all pairs.
-Keys with more than BUCKET fingerprints are dealt anew by the four bytes of the other half, of which one is equal or the halves
-together differ too much, and so on: exact, without a cap.
+Within a key candidates are verified by Hamming distance: by a join where few share it; otherwise only a spanning forest of the links goes
+on, never all pairs. Keys with more than BUCKET fingerprints are dealt anew by the remaining bits of the other half, again in four
+blocks of which one is equal, and so on: exact, without a cap.
 
 Defined results: null or empty text has fingerprint zero and links like any other; equal texts share a fingerprint and a component;
 rows with a null doc_id get a fingerprint and the smallest non-null doc_id reachable (null if there is none); repeated rows come out
@@ -136,57 +137,59 @@ def _fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     return common.arrow_map(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp bigint")
 
 
-def _narrow(part: np.ndarray, mask: np.ndarray, fp: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, part, mask) of the rows dealt anew: the bits in mask (of the half that the key doesn't hold) go in four blocks, of which a
-    linked pair has one in common; that block joins the part and leaves the mask."""
-    rows, parts, masks = [], [], []
-    other = np.where(key >> 60 & 1, fp & 0xFFFFFFFF, fp >> 32 & 0xFFFFFFFF)
+def _narrow(group: np.ndarray, half: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, group, mask) of the rows dealt by the other half: its bits in mask go in four blocks, of which a linked pair has one in
+    common, as they differ in three bits at most; the block joins the group's hash and leaves the mask. A clash of hashes only adds candidates."""
+    rows, groups, masks = [], [], []
+    other = np.where(half > 0, fp & 0xFFFFFFFF, fp >> 32 & 0xFFFFFFFF)
     for m in np.unique(mask):
         own = np.flatnonzero(mask == m)
         bits = [b for b in range(32) if int(m) >> b & 1]
         for k in range(4):
             block = sum(1 << b for b in bits[k * len(bits) // 4 : (k + 1) * len(bits) // 4])
             rows.append(own)
-            parts.append([xxhash.xxh64_intdigest(f"{p},{k},{v}") >> 1 for p, v in zip(part[own].tolist(), (other[own] & block).tolist())])
+            g = (group[own].view(np.uint64) ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            g = ((g ^ (g >> np.uint64(29))) + (other[own] & block).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            groups.append((g ^ (g >> np.uint64(32))).view(np.int64))
             masks.append(np.full(len(own), int(m) & ~block))
-    return np.concatenate(rows), np.concatenate(parts), np.concatenate(masks)
+    return np.concatenate(rows), np.concatenate(groups), np.concatenate(masks)
 
 
 def _links(spark: SparkSession, fps: DataFrame, bucket: int = BUCKET, small: int = SMALL) -> DataFrame:
     """Links a, b between distinct fingerprints; their components are those of all links of MAX_BITS or fewer."""
+    names = ["key", "half", "mask", "fp"]
+
+    def narrowed(key: np.ndarray, half: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        rows, key, mask = _narrow(key, half, mask, fp) if len(fp) else (np.zeros(0, np.int64), key, mask)
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(half[rows], pa.int64()), pa.array(mask, pa.int64()), pa.array(fp[rows], pa.int64())], names=names)
 
     def keyed(batches):
         for b in batches:
             fp = b.column(0).to_numpy()
             rows, key = keys(fp.view(np.uint64))
-            n = len(key)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, 0xFFFFFFFF)), pa.array(fp[rows])], names=["key", "part", "mask", "fp"])
+            yield narrowed(key, key >> 60 & 1, np.full(len(key), 0xFFFFFFFF), fp[rows])
 
-    def narrowed(batches):
+    def again(batches):
         for b in batches:
-            key, part, mask, fp = (b.column(c).to_numpy() for c in ("key", "part", "mask", "fp"))
-            rows, part, mask = _narrow(part, mask, fp, key) if len(key) else (key, part, mask)
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(part, pa.int64()), pa.array(mask, pa.int64()), pa.array(fp[rows])], names=["key", "part", "mask", "fp"])
+            yield narrowed(*(b.column(c).to_numpy() for c in names))
 
     def linked(t: pa.Table) -> pa.Table:
         a, b = forest(t.column("fp").to_numpy().view(np.uint64))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    schema = "key bigint, part bigint, mask bigint, fp bigint"
+    schema = "key bigint, half bigint, mask bigint, fp bigint"
     todo, out = fps.mapInArrow(keyed, schema), None
     while True:
-        todo = common.materialize(spark, todo)
-        sizes = todo.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = common.materialize(spark, todo.join(sizes, ["key", "part"]))
+        shared = common.materialize(spark, todo.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"))
         few, many = shared.where(F.col("n") <= small), shared.where((F.col("n") > small) & ((F.col("n") <= bucket) | (F.col("mask") == 0)))
-        x, y = few.select("key", "part", F.col("fp").alias("a")), few.select("key", "part", F.col("fp").alias("b"))
-        near = x.join(y, ["key", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
-        links = near.select("a", "b").unionAll(many.groupBy("key", "part").applyInArrow(linked, "a bigint, b bigint"))
+        x, y = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
+        near = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
+        links = near.select("a", "b").unionAll(many.groupBy("key").applyInArrow(linked, "a bigint, b bigint"))
         out = links if out is None else out.unionAll(links)
         rest = shared.where((F.col("n") > bucket) & (F.col("mask") != 0)).drop("n")
         if rest.isEmpty():
             return out.distinct()
-        todo = rest.mapInArrow(narrowed, schema)
+        todo = rest.mapInArrow(again, schema)
 
 
 def components(spark: SparkSession, links: DataFrame, salts: int = 8) -> DataFrame:
