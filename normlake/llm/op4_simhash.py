@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from normlake.llm import common
+from normlake.llm.op10_decontaminate import FOLD
 from normlake.session import ensure_code
 
 SEED = 42
@@ -240,8 +241,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
 
 
 def wide_prints(text: str | None, n: int = PRINTS) -> list[int]:
-    """n fingerprints over the words of five bytes or more (all words, if there is none), each by hashes of its own."""
-    w = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    """n fingerprints over the words (of letters and digits) of five bytes or more, or all words if there is none, each by hashes of its own."""
+    w = (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
     w = [x for x in w if len(x) >= 5] or w
     h = np.fromiter(map(_hash, w), np.uint64, len(w))
     out = []
