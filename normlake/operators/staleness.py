@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from normlake.functions import text as T
 from normlake.operators import registry
 from normlake.operators.report import RANGE_LIMIT
+from normlake.session import materialize
 from normlake.sources import laws
 
 
@@ -48,8 +49,8 @@ def check(rows: DataFrame, known: DataFrame, versions: DataFrame, year: int) ->
     A source that refuses (fetch_state rate_limited) is a matter of each law here, not of all that come after it.
     """
     cols = rows.columns
-    resolved = registry.resolve(rows, known, "law")
-    whole = resolved.join(states(resolved, versions, year), "slug", "left")
+    resolved = materialize(registry.resolve(rows, known, "law"))
+    whole = resolved.join(materialize(states(resolved, versions, year)), "slug", "left")
     found = whole.join(compared(whole, versions), ["doc_id", "row_key"], "left")
     say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     law, amended, start, end = F.col("law"), F.col("amended"), f"{year}-01-01", f"{year}-12-31"

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "normlake", **conf: str) -> SparkSession:
@@ -31,3 +32,19 @@ def ensure_code(spark: SparkSession) -> None:
                     z.write(os.path.join(folder, n), os.path.join("normlake", os.path.relpath(os.path.join(folder, n), top)))
     context.addPyFile(path)
     context._normlake_code = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = os.path.join(tempfile.gettempdir(), "normlake-checkpoints")
+    return where.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read back: plans that use it several times don't compute it anew, nor do lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/normlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
