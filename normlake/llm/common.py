@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from normlake import session
 from normlake.session import ensure_code
 
 #: Rows of an Arrow batch: whole texts of any length have to fit in a Python worker.
@@ -23,29 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = os.path.join(tempfile.gettempdir(), "normlake-checkpoints")
-    return where.rstrip("/")
-
-
 def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back, so that lost executors cost no recomputation of what came before."""
-    path = f"{shared_dir(spark)}/normlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete what materialize() wrote for these frames; only for frames nothing will read again."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for df in frames:
-        for top in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/normlake-" in top:
-                path = jvm.org.apache.hadoop.fs.Path(top)
-                path.getFileSystem(conf).delete(path, True)
+    return session.materialize(df)
 
 
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -77,6 +58,14 @@ def once(key: str, make: Callable):
     return _made[key]
 
 
+def trim() -> None:
+    """Give memory that a fit has used and freed back to the system, where it can be: the driver goes on with other work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows kept from every fit: crc32 of the id as text divides by 5. A null id is neither learned from nor held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

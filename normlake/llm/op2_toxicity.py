@@ -265,7 +265,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, chars: int = CHARS
     # At most `most` ids: bounded, so that no text has to move.
     got = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where(F.length("text") <= chars).select(F.col("_id").cast("string").alias("k"), F.col("text").alias("t"), F.col("_toxic").alias("y")).limit(2 * most).toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("k", "t", "y"))))
-    return train([(t, y) for _, t, y in rows])
+    del got
+    model = train([(t, y) for _, t, y in rows])
+    del rows
+    common.trim()
+    return model
 
 
 def rate(spark: SparkSession, docs: DataFrame, model: tuple, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -34,7 +34,8 @@ from normlake.session import ensure_code
 
 SEED = 42
 MAX_BITS = 3
-FULL = 0xFFFFFFFF
+#: All bits of a half; the bits of a key that tell what it is.
+FULL, LOW = 0xFFFFFFFF, 63
 #: Fingerprints of one key that meet in one task; larger keys are split exactly.
 BUCKET = 8192
 #: Keys with at most so many are verified by a join; larger ones give a spanning forest instead of pairs.
@@ -155,46 +156,54 @@ def _narrow(group: np.ndarray, half: np.ndarray, mask: np.ndarray, fp: np.ndarra
             rows.append(own)
             g = (group[own].view(np.uint64) ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
             g = ((g ^ (g >> np.uint64(29))) + (other[own] & block).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            groups.append((g ^ (g >> np.uint64(32))).view(np.int64) & ~1 | half[own])
+            groups.append((g ^ (g >> np.uint64(32))).view(np.int64) & ~LOW)
             masks.append(np.full(len(own), int(m) & ~block))
     return np.concatenate(rows), np.concatenate(groups), np.concatenate(masks)
 
 
 def _links(spark: SparkSession, fps: DataFrame, bucket: int = BUCKET, small: int = SMALL) -> DataFrame:
-    """Links a, b between distinct fingerprints; their components are those of all links of MAX_BITS or fewer."""
+    """fps: r (0 to 7), fp, distinct. Links r, a, b between fingerprints of the same r; their components are those of all links of MAX_BITS or fewer.
 
-    def narrowed(key: np.ndarray, half: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> list[pa.Array]:
-        rows, key, mask = _narrow(key, half, mask, fp) if len(fp) else (np.zeros(0, np.int64), key, mask)
-        return [pa.array(key, pa.int64()), pa.array(fp[rows], pa.int64()), pa.array(mask, pa.int64())]
+    The lowest bits of a key hold the half, the byte joined first and r, so that only these can meet, and rows need no columns for them.
+    """
+
+    def narrowed(key: np.ndarray, low: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not len(fp):
+            return key, fp, mask
+        rows, key, mask = _narrow(key, low & 1, mask, fp)
+        return key | low[rows], fp[rows], mask
 
     def keyed(batches):
         for b in batches:
-            fp = b.column(0).to_numpy()
+            r, fp = b.column("r").to_numpy().astype(np.int64), b.column("fp").to_numpy()
             rows, key = keys(fp.view(np.uint64))
-            key, fp, mask = narrowed(key, key >> 60 & 1, np.full(len(key), FULL), fp[rows])
+            key, fp, mask = narrowed(key, key >> 60 & 1 | r[rows] << 3, np.full(len(key), FULL), fp[rows])
             # Which byte the mask leaves out, in two bits.
-            byte = np.select([mask.to_numpy() == FULL & ~(255 << 8 * k) for k in range(4)], range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(key.to_numpy() & ~6 | byte << 1), fp], names=["key", "fp"])
+            byte = np.select([mask == FULL & ~(255 << 8 * k) for k in range(4)], range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(key | byte << 1, pa.int64()), pa.array(fp, pa.int64())], names=["key", "fp"])
 
     def again(batches):
         for b in batches:
             key = b.column("key").to_numpy()
-            yield pa.RecordBatch.from_arrays(narrowed(key, key & 1, b.column("mask").to_numpy(), b.column("fp").to_numpy()), names=["key", "fp", "mask"])
+            made = narrowed(key, key & LOW, b.column("mask").to_numpy(), b.column("fp").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["key", "fp", "mask"])
 
     def linked(t: pa.Table) -> pa.Table:
         a, b = forest(t.column("fp").to_numpy().view(np.uint64))
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        r = t.column("key")[0].as_py() >> 3 & 7
+        return pa.table({"r": pa.array(np.full(len(a), r), pa.int32()), "a": a.view(np.int64), "b": b.view(np.int64)})
 
     ensure_code(spark)
-    todo, out = fps.mapInArrow(keyed, "key bigint, fp bigint"), None
+    todo, out = fps.select("r", "fp").mapInArrow(keyed, "key bigint, fp bigint"), None
     left = F.element_at(F.array(*(F.lit(FULL & ~(255 << 8 * k)) for k in range(4))), (F.shiftright("key", 1).bitwiseAND(3) + 1).cast("int"))
+    of = F.shiftright("key", 3).bitwiseAND(7).cast("int").alias("r")
     while True:
         counted = todo.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
         shared = common.materialize(spark, counted if "mask" in todo.columns else counted.withColumn("mask", left))
         few, many = shared.where(F.col("n") <= small), shared.where((F.col("n") > small) & ((F.col("n") <= bucket) | (F.col("mask") == 0)))
         x, y = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
         near = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
-        links = near.select("a", "b").unionAll(many.groupBy("key").applyInArrow(linked, "a bigint, b bigint"))
+        links = near.select(of, "a", "b").unionAll(many.select("key", "fp").groupBy("key").applyInArrow(linked, "r int, a bigint, b bigint"))
         out = links if out is None else out.unionAll(links)
         rest = shared.where((F.col("n") > bucket) & (F.col("mask") != 0)).drop("n")
         if rest.isEmpty():
@@ -233,7 +242,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     """One row for each row of docs: key, fp bigint, component_id (least key reachable)."""
     fps = common.materialize(spark, _fingerprints(docs, key, text))
     least = fps.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = components(spark, _links(spark, least.select("fp")))
+    roots = components(spark, _links(spark, least.select(F.lit(0).alias("r"), "fp")).drop("r"))
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = common.materialize(spark, rooted.join(ids, "root").select("fp", "component_id"))
@@ -258,7 +267,7 @@ def _hash(word: bytes) -> int:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = PRINTS) -> DataFrame:
-    """One row for each row of docs: key, node (of texts with the same fingerprints), component_id. Texts link if one of their n wide
+    """One row for each row of docs: key, node (of texts with the same fingerprints), component_id. Texts link if one of their n (eight at most) wide
     fingerprints differs in MAX_BITS or fewer: near copies whose five-word shingles are alike to 0.8 or more, nearly all of them
     (measured on pairs in README), although a single fingerprint of them mostly differs in more bits than that."""
     cols = [f"f{r}" for r in range(n)]
@@ -271,13 +280,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     prints = common.arrow_map(docs.select(key, text), run, f"`{key}` {kind}, {', '.join(f'{c} bigint' for c in cols)}")
     prints = common.materialize(spark, prints.withColumn("node", F.xxhash64(*cols)))
     classes = common.materialize(spark, prints.groupBy("node").agg(F.min(key).alias("least"), *(F.any_value(c).alias(c) for c in cols)))
-    links, ties = None, None
-    for r, c in enumerate(cols):
-        name = lambda x, r=r: F.xxhash64(F.lit(r), x)
-        found = _links(spark, classes.select(F.col(c).alias("fp")).distinct()).select(name("a").alias("a"), name("b").alias("b"))
-        tie = classes.select("node", name(c).alias("id"))
-        links, ties = (found, tie) if links is None else (links.unionAll(found), ties.unionAll(tie))
-    links = common.materialize(spark, links)
+    each = classes.select("node", F.posexplode(F.array(*cols)).alias("r", "fp"))
+    name = lambda x: F.xxhash64(F.col("r"), F.col(x))
+    links = common.materialize(spark, _links(spark, each.select("r", "fp").distinct()).select(name("a").alias("a"), name("b").alias("b")))
+    ties = each.select("node", name("fp").alias("id"))
     # Only fingerprints that link or that several classes have tie anything together.
     busy = links.select(F.col("a").alias("id")).unionAll(links.select("b")).unionAll(ties.groupBy("id").count().where("count > 1").select("id")).distinct()
     edges = ties.join(busy, "id", "left_semi").select(F.col("node").alias("a"), F.col("id").alias("b"))

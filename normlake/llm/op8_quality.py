@@ -86,11 +86,14 @@ def train(rows: list[tuple[str, int]]) -> Model:
     if len(grades) < 2:
         return Model(grades, np.zeros(1 << BITS), np.zeros(0))
     cache: dict = {}
-    data = [features(t, cache) for t, _ in rows]
+    data = [(i.astype(np.int32), x.astype(np.float32)) for i, x in (features(t, cache) for t, _ in rows)]
     y = np.array([grades.index(g) for _, g in rows])
-    at = np.repeat(np.arange(len(data)), [len(i) for i, _ in data])
+    cache.clear()
+    at = np.repeat(np.arange(len(data), dtype=np.int32), [len(i) for i, _ in data])
     col, val = np.concatenate([i for i, _ in data]), np.concatenate([x for _, x in data])
-    used, col = np.unique(col, return_inverse=True)
+    del data
+    used = np.flatnonzero(np.bincount(col, minlength=1 << BITS))
+    col = np.searchsorted(used, col).astype(np.int32)
     share = np.bincount(y, minlength=len(grades))
     weight = (len(y) / (len(grades) * share))[y]
     k = len(grades) - 1
@@ -124,7 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, chars: int = CHARS
     # At most `most` ids: bounded, so that no text has to move.
     got = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where(F.length("text") <= chars).select(F.col("_id").cast("string").alias("k"), F.col("text").alias("t"), F.col("_grade").alias("g")).limit(2 * most).toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("k", "t", "g"))))
-    return train([(t, g) for _, t, g in rows])
+    del got
+    model = train([(t, g) for _, t, g in rows])
+    del rows
+    common.trim()
+    return model
 
 
 def grade(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

@@ -127,7 +127,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     start = F.greatest(F.lit(1), ((F.length(text) - chars) / 2).cast("int") + 1)
     got = picked.select(F.col(key).cast("string").alias("k"), F.substring(F.col(text), start, F.lit(chars)).alias("t"), F.col(lang).alias("l")).toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("k", "t", "l"))), key=lambda r: (zlib.crc32(r[0].encode()), r))
-    return train([(t, lang) for _, t, lang in rows])
+    del got
+    model = train([(t, lang) for _, t, lang in rows])
+    del rows
+    common.trim()
+    return model
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
