@@ -29,6 +29,11 @@ def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     return session.materialize(df)
 
 
+def numbered(df: DataFrame, *keep: str) -> DataFrame:
+    """df with all columns but `keep` renamed to c0, c1, ..., so that none has the name of a column that an operator adds."""
+    return df.toDF(*(c if c in keep else f"c{k}" for k, c in enumerate(df.columns)))
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with one output batch for each input batch, in small batches."""
 

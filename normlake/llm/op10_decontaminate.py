@@ -151,8 +151,8 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str =
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs, all columns, without the documents in which a benchmark window occurs."""
-    keep = docs.columns
-    return scan(spark, docs, benchmark, text).where(F.size("hits") == 0).select(*keep)
+    plain = common.numbered(docs)
+    return scan(spark, plain, benchmark, plain.columns[docs.columns.index(text)]).where(F.size("hits") == 0).select(*plain.columns).toDF(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ Defined results: null or empty text has no words, no labels and score 0; repeate
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,7 @@ def tokens(text: str | None) -> list[str]:
 
 
 class Automaton:
-    """Nondeterministic automaton over words: state -> [(word or ANY, state)]; -1 accepts. `first` holds the words a match can begin with."""
+    """Nondeterministic automaton over words: state -> [(word or ANY, state)]; `end` accepts; `free` holds steps without a word."""
 
     def __init__(self, template: str):
         self.edges: list[list[tuple[str | None, int]]] = [[]]
@@ -60,21 +61,17 @@ class Automaton:
             elif part == "<</opt>>":
                 self.free[opened.pop()].append(at)
             elif m := re.fullmatch(r"<<var:(\d+)>>", part):
-                begin, at = at, at
+                begin = at
                 for _ in range(int(m[1])):
                     at = self._step(at, ANY)
                 last = at
                 for s in range(begin, last):
-                    if s == begin or s > begin:
-                        self.free[s].append(last)
+                    self.free[s].append(last)
             else:
                 for w in tokens(part):
                     at = self._step(at, w)
         self.end = at
         self.start = self._closed({0})
-        self.first = {w for s in self.start for w, _ in self.edges[s]}
-        #: The rarest literal of the template's mandatory words would do as well; any start word is enough here.
-        self.open = ANY in self.first
 
     def _step(self, at: int, word: str | None) -> int:
         self.edges.append([])
@@ -104,6 +101,16 @@ class Automaton:
             at += 1
 
 
+def places(flat: str, phrase: str) -> Iterator[int]:
+    """Numbers of the words at which a phrase, blanks around it, stands in a text that begins with a blank."""
+    at, done, k = flat.find(phrase), 0, 0
+    while at >= 0:
+        k += flat.count(" ", done, at)
+        done = at
+        yield k
+        at = flat.find(phrase, at + 1)
+
+
 class Scanner:
     """All templates; a text is tried only where a template's anchor, its longest run of mandatory words, occurs."""
 
@@ -122,14 +129,11 @@ class Scanner:
         """(label, first word, end) of the leftmost match at each place of an anchor."""
         out = []
         for label, anchor, reach, a in self.all:
-            at = flat.find(anchor)
-            while at >= 0:
-                k = flat.count(" ", 0, at)
+            for k in places(flat, anchor):
                 for s in range(max(0, k - reach), k + 1):
                     if (end := a.match(words, s)) > k:
                         out.append((label, s, end))
                         break
-                at = flat.find(anchor, at + 1)
         return out
 
 
@@ -144,11 +148,9 @@ def scan_text(scanner: Scanner, text: str | None) -> tuple:
         return len(words), 0, None, None, "", "", 0.0
     starts, base = [], set()
     for phrase, label in PHRASES.items():
-        at = flat.find(f" {phrase} ")
-        while at >= 0:
-            starts.append(flat.count(" ", 0, at))
-            base.add(label)
-            at = flat.find(f" {phrase} ", at + 1)
+        found = list(places(flat, f" {phrase} "))
+        starts += found
+        base |= {label} if found else set()
     found = scanner.labels(words, flat)
     labels = base | {f[0] for f in found}
     score = 1.0 if found else 0.5 if base else 0.0

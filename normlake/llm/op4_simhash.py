@@ -9,8 +9,7 @@ and, if that is 3 bits away, the five codewords 4 bits away, each with the 9 bit
 one of its four bytes is equal: each key is joined with each of them. Every link of 3 bits or fewer shares a key of 29 bits or more.
 
 Within a key candidates are verified by Hamming distance: by a join where few share it; otherwise only a spanning forest of the links goes
-on, never all pairs. Keys with more than BUCKET fingerprints are dealt anew by the remaining bits of the other half, again in four
-blocks of which one is equal, and so on: exact, without a cap.
+on, never all pairs. Keys with more than BUCKET fingerprints are cut into blocks, any two of which meet in a task: exact, without a cap.
 
 Defined results: null or empty text has fingerprint zero and links like any other; equal texts share a fingerprint and a component;
 rows with a null doc_id get a fingerprint and the smallest non-null doc_id reachable (null if there is none); repeated rows come out
@@ -34,14 +33,14 @@ from normlake.session import ensure_code
 
 SEED = 42
 MAX_BITS = 3
-#: All bits of a half; the bits of a key that tell what it is.
-FULL, LOW = 0xFFFFFFFF, 63
-#: Fingerprints of one key that meet in one task; larger keys are split exactly.
+#: The bits of a key that tell what it is.
+LOW = 63
+#: Fingerprints of one key that meet in one task; larger keys are cut into blocks, exactly.
 BUCKET = 8192
 #: Keys with at most so many are verified by a join; larger ones give a spanning forest instead of pairs.
 SMALL = 32
 #: Fingerprints of a document when near copies are sought.
-PRINTS = 4
+PRINTS = 6
 #: Generator polynomial of the binary Golay code.
 GENERATOR = 0b101011100011
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -143,50 +142,30 @@ def _fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     return common.arrow_map(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp bigint")
 
 
-def _narrow(group: np.ndarray, half: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, group, mask) of the rows dealt by the other half: its bits in mask go in four blocks, of which a linked pair has one in
-    common, as they differ in three bits at most; the block joins the group's hash and leaves the mask. A clash of hashes only adds candidates."""
-    rows, groups, masks = [], [], []
-    other = np.where(half > 0, fp & 0xFFFFFFFF, fp >> 32 & 0xFFFFFFFF)
-    for m in np.unique(mask):
-        own = np.flatnonzero(mask == m)
-        bits = [b for b in range(32) if int(m) >> b & 1]
-        for k in range(4):
-            block = sum(1 << b for b in bits[k * len(bits) // 4 : (k + 1) * len(bits) // 4])
-            rows.append(own)
-            g = (group[own].view(np.uint64) ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            g = ((g ^ (g >> np.uint64(29))) + (other[own] & block).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            groups.append((g ^ (g >> np.uint64(32))).view(np.int64) & ~LOW)
-            masks.append(np.full(len(own), int(m) & ~block))
-    return np.concatenate(rows), np.concatenate(groups), np.concatenate(masks)
+def _joined(key: np.ndarray, low: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key with each byte of the half that it doesn't hold, mixed into one number; its lowest bits are `low` and which byte it is.
+    A clash of mixed keys only adds candidates. Returns rows and keys."""
+    other = np.where(low & 1, fp & 0xFFFFFFFF, fp >> 32 & 0xFFFFFFFF)
+    out = []
+    for k in range(4):
+        g = (key.view(np.uint64) ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        g = ((g ^ (g >> np.uint64(29))) + (other >> 8 * k & 255).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append((g ^ (g >> np.uint64(32))).view(np.int64) & ~LOW | low | k << 1)
+    return np.tile(np.arange(len(fp)), 4), np.concatenate(out)
 
 
 def _links(spark: SparkSession, fps: DataFrame, bucket: int = BUCKET, small: int = SMALL) -> DataFrame:
     """fps: r (0 to 7), fp, distinct. Links r, a, b between fingerprints of the same r; their components are those of all links of MAX_BITS or fewer.
 
-    The lowest bits of a key hold the half, the byte joined first and r, so that only these can meet, and rows need no columns for them.
+    The lowest bits of a key hold the half, the byte and r, so that only these can meet, and rows need no columns for them.
     """
 
-    def narrowed(key: np.ndarray, low: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not len(fp):
-            return key, fp, mask
-        rows, key, mask = _narrow(key, low & 1, mask, fp)
-        return key | low[rows], fp[rows], mask
-
     def keyed(batches):
         for b in batches:
             r, fp = b.column("r").to_numpy().astype(np.int64), b.column("fp").to_numpy()
             rows, key = keys(fp.view(np.uint64))
-            key, fp, mask = narrowed(key, key >> 60 & 1 | r[rows] << 3, np.full(len(key), FULL), fp[rows])
-            # Which byte the mask leaves out, in two bits.
-            byte = np.select([mask == FULL & ~(255 << 8 * k) for k in range(4)], range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(key | byte << 1, pa.int64()), pa.array(fp, pa.int64())], names=["key", "fp"])
-
-    def again(batches):
-        for b in batches:
-            key = b.column("key").to_numpy()
-            made = narrowed(key, key & LOW, b.column("mask").to_numpy(), b.column("fp").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["key", "fp", "mask"])
+            again, key = _joined(key, key >> 60 & 1 | r[rows] << 3, fp[rows])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp[rows][again], pa.int64())], names=["key", "fp"])
 
     def linked(t: pa.Table) -> pa.Table:
         a, b = forest(t.column("fp").to_numpy().view(np.uint64))
@@ -194,21 +173,17 @@ def _links(spark: SparkSession, fps: DataFrame, bucket: int = BUCKET, small: int
         return pa.table({"r": pa.array(np.full(len(a), r), pa.int32()), "a": a.view(np.int64), "b": b.view(np.int64)})
 
     ensure_code(spark)
-    todo, out = fps.select("r", "fp").mapInArrow(keyed, "key bigint, fp bigint"), None
-    left = F.element_at(F.array(*(F.lit(FULL & ~(255 << 8 * k)) for k in range(4))), (F.shiftright("key", 1).bitwiseAND(3) + 1).cast("int"))
     of = F.shiftright("key", 3).bitwiseAND(7).cast("int").alias("r")
-    while True:
-        counted = todo.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-        shared = common.materialize(spark, counted if "mask" in todo.columns else counted.withColumn("mask", left))
-        few, many = shared.where(F.col("n") <= small), shared.where((F.col("n") > small) & ((F.col("n") <= bucket) | (F.col("mask") == 0)))
-        x, y = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-        near = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
-        links = near.select(of, "a", "b").unionAll(many.select("key", "fp").groupBy("key").applyInArrow(linked, "r int, a bigint, b bigint"))
-        out = links if out is None else out.unionAll(links)
-        rest = shared.where((F.col("n") > bucket) & (F.col("mask") != 0)).drop("n")
-        if rest.isEmpty():
-            return out.distinct()
-        todo = rest.mapInArrow(again, "key bigint, fp bigint, mask bigint")
+    all_keys = fps.select("r", "fp").mapInArrow(keyed, "key bigint, fp bigint")
+    shared = common.materialize(spark, all_keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"))
+    few, many = shared.where(F.col("n") <= small), shared.where(F.col("n") > small)
+    x, y = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
+    near = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select(of, "a", "b")
+    # One block for most keys. A key of more than `bucket` fingerprints is cut into blocks, of which any two meet in a task of their own.
+    blocks = F.ceil(F.col("n") / bucket).cast("int")
+    own = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "fp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return near.unionAll(met.groupBy("key", "lo", "hi").applyInArrow(linked, "r int, a bigint, b bigint")).distinct()
 
 
 def components(spark: SparkSession, links: DataFrame, salts: int = 8) -> DataFrame:
@@ -267,17 +242,17 @@ def _hash(word: bytes) -> int:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = PRINTS) -> DataFrame:
-    """One row for each row of docs: key, node (of texts with the same fingerprints), component_id. Texts link if one of their n (eight at most) wide
+    """One row for each row of docs: key, text_hash, node (of texts with the same fingerprints), component_id. Texts link if one of their n (eight at most) wide
     fingerprints differs in MAX_BITS or fewer: near copies whose five-word shingles are alike to 0.8 or more, nearly all of them
     (measured on pairs in README), although a single fingerprint of them mostly differs in more bits than that."""
     cols = [f"f{r}" for r in range(n)]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([wide_prints(t, n) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, n).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(prints[:, r]) for r in range(n))], names=[key, *cols])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(prints[:, r]) for r in range(n))], names=[key, "text_hash", *cols])
 
     kind = docs.schema[key].dataType.simpleString()
-    prints = common.arrow_map(docs.select(key, text), run, f"`{key}` {kind}, {', '.join(f'{c} bigint' for c in cols)}")
+    prints = common.arrow_map(docs.select(key, text, F.xxhash64(text).alias("text_hash")), run, f"`{key}` {kind}, text_hash bigint, {', '.join(f'{c} bigint' for c in cols)}")
     prints = common.materialize(spark, prints.withColumn("node", F.xxhash64(*cols)))
     classes = common.materialize(spark, prints.groupBy("node").agg(F.min(key).alias("least"), *(F.any_value(c).alias(c) for c in cols)))
     each = classes.select("node", F.posexplode(F.array(*cols)).alias("r", "fp"))
@@ -291,20 +266,23 @@ def near_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     rooted = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = common.materialize(spark, rooted.join(ids, "root").select("node", "component_id"))
-    return prints.select(key, "node").join(of, "node").select(key, "node", "component_id")
+    return prints.select(key, "text_hash", "node").join(of, "node").select(key, "text_hash", "node", "component_id")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, with one document of each component of near copies: that of the least key. Of rows that repeat a key, one
     stays. Of rows with a null key, whose component has no other key, one for each text stays."""
+    names, docs = docs.columns, common.numbered(docs, key, text)
     found = common.materialize(spark, near_copies(spark, docs, key, text))
     keep = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
     named = docs.where(F.col(key).isNotNull()).join(keep, key, "left_semi")
     # The join has already dealt and sorted the rows by key.
     once = named.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(key))).where("_nth = 1").select(*docs.columns)
-    if found.where(F.col(key).isNull() & F.col("component_id").isNull()).isEmpty():
-        return once
-    return once.unionByName(docs.where(F.col(key).isNull()).dropDuplicates([text]))
+    lost = found.where(F.col(key).isNull() & F.col("component_id").isNull()).select("text_hash").distinct()
+    if lost.isEmpty():
+        return once.toDF(*names)
+    nameless = docs.where(F.col(key).isNull()).withColumn("text_hash", F.xxhash64(text)).join(lost, "text_hash", "left_semi")
+    return once.unionByName(nameless.dropDuplicates(["text_hash"]).select(*docs.columns)).toDF(*names)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

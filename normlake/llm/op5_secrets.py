@@ -105,6 +105,7 @@ def masked(text: Column, found: Column, mask: str = MASK) -> Column:
 
 def redact(spark: SparkSession, docs: DataFrame, owner: str = "source", copied_from: int = COPIED_FROM) -> DataFrame:
     """docs, all columns, with live-looking secrets in `text` masked and `n_chars`, if there, set anew. Only documents that have spans move."""
+    names, docs = docs.columns, common.numbered(docs, "doc_id", "text", "n_chars", owner)
     named = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("_spans", spans(F.col("text")))
     some = named.where(F.size("_spans") > 0)
     found = common.materialize(spark, some.select("doc_id", "text_hash", F.col(owner).alias("owner"), F.col("_spans").alias("spans")))
@@ -112,7 +113,7 @@ def redact(spark: SparkSession, docs: DataFrame, owner: str = "source", copied_f
     hit = some.join(by, F.expr("doc_id <=> _doc AND text_hash = _hash"), "left")
     text = F.when(F.col("live").isNotNull(), masked(F.col("text"), F.col("live"))).otherwise(F.col("text"))
     cols = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text} | ({"n_chars": F.when(F.col("live").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return hit.select(*(c.alias(n) for n, c in cols.items())).unionByName(named.where(F.size("_spans") == 0).select(*docs.columns))
+    return hit.select(*(c.alias(n) for n, c in cols.items())).unionByName(named.where(F.size("_spans") == 0).select(*docs.columns)).toDF(*names)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", at + 1)
     if not _NUMBER.search(text):
         return out
-    out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(x := p.lstrip("0") or "0") <= 3 and int(x) <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and _luhn(digits):

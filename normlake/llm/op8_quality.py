@@ -151,8 +151,8 @@ def grade(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str], t
 def select_good(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """docs, all columns, without the documents that the model rejects. Columns called like the results keep their own values."""
     names = docs.columns
-    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
-    text = f"c{names.index('text')}"
+    plain = common.numbered(docs)
+    text = plain.columns[names.index("text")]
     return grade(spark, plain, model, plain.columns, text).where("kept").select(*plain.columns).toDF(*names)
 
 
