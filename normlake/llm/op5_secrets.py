@@ -111,8 +111,10 @@ def redact(spark: SparkSession, docs: DataFrame, owner: str = "source", copied_f
     found = common.materialize(spark, some.select("doc_id", "text_hash", F.col(owner).alias("owner"), F.col("_spans").alias("spans")))
     by = judged(spark, found, copied_from).where(F.size("live") > 0)
     hit = some.join(by, F.expr("doc_id <=> _doc AND text_hash = _hash"), "left")
-    text = F.when(F.col("live").isNotNull(), masked(F.col("text"), F.col("live"))).otherwise(F.col("text"))
-    cols = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text} | ({"n_chars": F.when(F.col("live").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    hit = hit.withColumn("_new", F.when(F.col("live").isNotNull(), masked(F.col("text"), F.col("live"))).otherwise(F.col("text")))
+    cols = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.col("_new")}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.when(F.col("live").isNotNull(), F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return hit.select(*(c.alias(n) for n, c in cols.items())).unionByName(named.where(F.size("_spans") == 0).select(*docs.columns)).toDF(*names)
 
 
