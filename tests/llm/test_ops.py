@@ -244,6 +244,16 @@ def test_secrets(spark):
     assert out[3].text == rows[2][1] and out[2].text is None and out[1].spans == "mine"
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    """Offsets over many chunks, against the pattern itself; the time must not grow with matches x length."""
+    r = random.Random(3)
+    t = "".join("é" * r.randrange(4) + f" password = {'p' * r.randrange(3, 9)}! " + f"{r.randrange(16**20):024x} " for _ in range(20_000))
+    for text in (t, t[:40], t[:90], t[:130]):
+        found = spark.createDataFrame([(text,)], "text string").select(op5_secrets.spans(F.col("text"))).first()[0]
+        want = [(m.start(), 0, m.end()) for m in re.finditer(op5_secrets.ASSIGN, text) if len(m[2]) >= op5_secrets.ASSIGN_LEAST] + [(m.start(), 2, m.end()) for m in re.finditer(op5_secrets.HEX, text)]
+        assert [(s.begin, s.kind, s.end) for s in found] == sorted(want)
+
+
 EMAIL, IP, CARD, PHONE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
