@@ -213,14 +213,21 @@ def components(spark: SparkSession, links: DataFrame, salts: int = 8) -> DataFra
     return stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _component_ids(classes: DataFrame, roots: DataFrame, node: str, salts: int = 8) -> DataFrame:
+    """node, component_id for each of the classes (node, least). A class without links is its own component and moves no further; the
+    members of the others meet their component's least key in several tasks."""
+    rooted = classes.select(node, "least").join(roots.withColumnRenamed("node", node), node, "left")
+    linked = rooted.where(F.col("root").isNotNull()).withColumn("salt", F.pmod(F.xxhash64(node), F.lit(salts)).cast("int"))
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return linked.join(ids, ["root", "salt"]).select(node, "component_id").unionAll(rooted.where(F.col("root").isNull()).select(node, "least"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key, fp bigint, component_id (least key reachable)."""
     fps = common.materialize(spark, _fingerprints(docs, key, text))
     least = fps.groupBy("fp").agg(F.min(key).alias("least"))
     roots = components(spark, _links(spark, least.select(F.lit(0).alias("r"), "fp")).drop("r"))
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = common.materialize(spark, rooted.join(ids, "root").select("fp", "component_id"))
+    of = common.materialize(spark, _component_ids(least, roots, "fp"))
     return fps.join(of, "fp").select(key, "fp", "component_id")
 
 
@@ -263,9 +270,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     busy = links.select(F.col("a").alias("id")).unionAll(links.select("b")).unionAll(ties.groupBy("id").count().where("count > 1").select("id")).distinct()
     edges = ties.join(busy, "id", "left_semi").select(F.col("node").alias("a"), F.col("id").alias("b"))
     roots = components(spark, links.unionAll(edges))
-    rooted = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = common.materialize(spark, rooted.join(ids, "root").select("node", "component_id"))
+    of = common.materialize(spark, _component_ids(classes, roots, "node"))
     return prints.select(key, "text_hash", "node").join(of, "node").select(key, "text_hash", "node", "component_id")
 
 
