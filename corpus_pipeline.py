@@ -14,7 +14,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of fingerprints that link: that of the least doc_id."""
+    """One document of each component of texts whose five-word shingles are alike to 0.8 or more: that of the least doc_id."""
     return op4_simhash.dedup(spark, docs)
 
 

@@ -41,6 +41,10 @@ BUCKET = 8192
 SMALL = 32
 #: Fingerprints of a document when near copies are sought.
 PRINTS = 6
+#: Words of a shingle, and the share of common shingles from which two texts are near copies.
+WIDTH, ALIKE = 5, 0.8
+#: Distinct texts that meet in one task to be held against each other; larger components are cut into blocks, exactly.
+TEXTS = 256
 #: Generator polynomial of the binary Golay code.
 GENERATOR = 0b101011100011
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -248,10 +252,67 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, SEED)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = PRINTS) -> DataFrame:
-    """One row for each row of docs: key, text_hash, node (of texts with the same fingerprints), component_id. Texts link if one of their n (eight at most) wide
-    fingerprints differs in MAX_BITS or fewer: near copies whose five-word shingles are alike to 0.8 or more, nearly all of them
-    (measured on pairs in README), although a single fingerprint of them mostly differs in more bits than that."""
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct hashes of every five consecutive words (of letters and digits), or of all words of a shorter text; a text without words is one word."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    w = raw.translate(FOLD).split() or [raw.strip()]
+    runs = zip(*(w[i:] for i in range(WIDTH))) if len(w) > WIDTH else [w]
+    return np.unique(np.array([_hash(b" ".join(x)) for x in runs], np.uint64))
+
+
+def alike(sets: list[np.ndarray], least: float = ALIKE) -> tuple[np.ndarray, np.ndarray]:
+    """Links (set, root) of the components that pairs of a Jaccard similarity of `least` or more form, a set at a time: no pairs are kept."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(size)])
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    # Sets that hold each value.
+    holds, start_of = np.repeat(np.arange(n), size)[order], np.searchsorted(ids[order], np.arange(len(values) + 1))
+    root, done, listed = np.full(n, -1), np.zeros(n, bool), n
+    for start in range(n):
+        if done[start]:
+            continue
+        todo, done[start] = [start], True
+        while todo and not done.all():
+            if 2 * (open_ := n - int(done.sum())) < listed:
+                left = ~done[holds]
+                holds, start_of, listed = holds[left], np.concatenate([[0], np.cumsum(left)])[start_of], open_
+            k = todo.pop()
+            own = ids[at[k] : at[k + 1]]
+            many = start_of[own + 1] - start_of[own]
+            common_ = np.bincount(holds[np.repeat(start_of[own] - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=n)
+            near = np.flatnonzero(~done & (common_ / (size + size[k] - common_) >= least))
+            done[near], root[near] = True, start
+            todo += near.tolist()
+    has = np.flatnonzero(root >= 0)
+    return has, root[has]
+
+
+def _verified(spark: SparkSession, texts: DataFrame, docs: DataFrame, key: str, text: str, block: int, salts: int = 8) -> DataFrame:
+    """texts: text_hash, least (key), proposed (component). Links a, b between text hashes whose components are those of all pairs of texts
+    of the same proposed component that are alike. Any two blocks of a component meet in a task of their own: exact, without a cap."""
+
+    def linked(t: pa.Table) -> pa.Table:
+        name = t.column("text_hash").to_numpy()
+        a, b = alike([shingles(x) for x in t.column("text").to_pylist()])
+        return pa.table({"a": name[a], "b": name[b]})
+
+    dealt = texts.withColumn("salt", F.pmod(F.xxhash64("text_hash"), F.lit(salts)).cast("int"))
+    sizes = texts.groupBy("proposed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    members = common.materialize(spark, dealt.join(sizes, ["proposed", "salt"]).select("text_hash", "least", "proposed", "n"))
+    # One row has a text's least key, unless rows repeat: exact copies don't meet.
+    rows = docs.select(F.xxhash64(text).alias("_hash"), F.col(key).alias("_key"), F.col(text).alias("text"))
+    found = members.join(rows, (F.col("text_hash") == F.col("_hash")) & F.col("least").eqNullSafe(F.col("_key"))).select("text_hash", "proposed", "n", "text")
+    own = found.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("text_hash"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("proposed", "text_hash", "text", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return met.groupBy("proposed", "lo", "hi").applyInArrow(linked, "a bigint, b bigint")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = PRINTS, block: int = TEXTS) -> DataFrame:
+    """One row for each row of docs: key, text_hash, component_id. Texts are proposed if one of their n (eight at most) wide fingerprints
+    differs in MAX_BITS or fewer: nearly all pairs whose five-word shingles are alike to 0.8 or more (measured in README), although a single
+    fingerprint of them mostly differs in more bits than that. Of the distinct texts of a component of proposals, those link that are
+    alike indeed, by their shingles; component_id is the least key of a component of such links."""
     cols = [f"f{r}" for r in range(n)]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -261,7 +322,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
     prints = common.arrow_map(docs.select(key, text, F.xxhash64(text).alias("text_hash")), run, f"`{key}` {kind}, text_hash bigint, {', '.join(f'{c} bigint' for c in cols)}")
     prints = common.materialize(spark, prints.withColumn("node", F.xxhash64(*cols)))
-    classes = common.materialize(spark, prints.groupBy("node").agg(F.min(key).alias("least"), *(F.any_value(c).alias(c) for c in cols)))
+    classes = common.materialize(spark, prints.groupBy("node").agg(*(F.any_value(c).alias(c) for c in cols)))
     each = classes.select("node", F.posexplode(F.array(*cols)).alias("r", "fp"))
     name = lambda x: F.xxhash64(F.col("r"), F.col(x))
     links = common.materialize(spark, _links(spark, each.select("r", "fp").distinct()).select(name("a").alias("a"), name("b").alias("b")))
@@ -269,9 +330,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     # Only fingerprints that link or that several classes have tie anything together.
     busy = links.select(F.col("a").alias("id")).unionAll(links.select("b")).unionAll(ties.groupBy("id").count().where("count > 1").select("id")).distinct()
     edges = ties.join(busy, "id", "left_semi").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    roots = components(spark, links.unionAll(edges))
-    of = common.materialize(spark, _component_ids(classes, roots, "node"))
-    return prints.select(key, "text_hash", "node").join(of, "node").select(key, "text_hash", "node", "component_id")
+    proposed = components(spark, links.unionAll(edges))
+    texts = prints.groupBy("text_hash").agg(F.min(key).alias("least"), F.any_value("node").alias("node"))
+    texts = common.materialize(spark, texts.join(proposed, "node", "left").select("text_hash", "least", F.coalesce("root", "node").alias("proposed")))
+    roots = components(spark, _verified(spark, texts, docs, key, text, block))
+    of = common.materialize(spark, _component_ids(texts, roots, "text_hash"))
+    return prints.select(key, "text_hash").join(of, "text_hash").select(key, "text_hash", "component_id")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
