@@ -47,13 +47,15 @@ _SPELLED = re.compile(rf"(?<![^\W_])(?:{_WORD}|[0-9])(?:[\s,.()-]{{1,3}}(?:{_WOR
 #: Digits and their names as words of op10's kind, and seven of them in a row.
 _NAMED = frozenset(w.encode() for w in [*_DIGITS, *"0123456789"])
 _RUN = b"\x01" * 7
-_DIGIT = re.compile(rf"(?<![^\W_])(?:{_WORD})(?![^\W_])[\s,]*", re.I)
+_DIGIT = re.compile(rf"(?<![^\W_])({_WORD})(?![^\W_])[\s,]*", re.I)
 _PLUS = re.compile(r"(?<![^\W_])plus\s+$", re.I)
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|arobase|ät)\s*[\])}>]\s*", re.I)
-_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punkt|punto|point)\s*[\])}>]\s*", re.I)
-_PLAIN = re.compile(r"[A-Za-z0-9_%+.-]+(\s+(?:at|arroba|arobase|ät)\s+)[A-Za-z0-9-]+(?:(?:\s+(?:dot|punkt|punto|point)\s+|\.)[A-Za-z0-9-]+)+", re.I)
+# Runs of blanks, and what is before a plain `at`, are tried once, not from each of their characters.
+_AT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*(?:at|arroba|arobase|ät)\s*[\])}>]\s*", re.I)
+_DOT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*(?:dot|punkt|punto|point)\s*[\])}>]\s*", re.I)
+_PLAIN = re.compile(r"(?<=[A-Za-z0-9_%+.-])(\s+(?:at|arroba|arobase|ät)\s+)[A-Za-z0-9-]+(?:(?:\s+(?:dot|punkt|punto|point)\s+|\.)[A-Za-z0-9-]+)+", re.I)
 _PLAIN_DOT = re.compile(r"\s+(?:dot|punkt|punto|point)\s+", re.I)
-_DOTS, _ATS = ("dot", "punkt", "punto", "point"), ("at", "arroba", "arobase")
+#: A text without any of these has no sign to undo; parts of a text between words.
+_SIGN, _BETWEEN = re.compile("dot|punkt|punto|point|at|arroba|arobase|ät", re.I), re.compile(r"[\W_]")
 
 
 def _luhn(digits: str) -> bool:
@@ -124,8 +126,8 @@ def _digit_edits(text: str) -> list:
             out.append((p.start(), p.end(), "+"))
         for d in _DIGIT.finditer(text, m.start(), m.end()):
             # Blanks between digits go with the digit before; after the last one they stay.
-            end = d.end() if d.end() < m.end() else d.start() + len(d[0].rstrip(" \t\r\n,"))
-            out.append((d.start(), end, _DIGITS[d[0].rstrip(" \t\r\n,\f\v").lower()]) if d[0].rstrip(" \t\r\n,\f\v").lower() in _DIGITS else (d.start(), d.start(), ""))
+            if by := _DIGITS.get(d[1].lower()):
+                out.append((d.start(), d.end() if d.end() < m.end() else d.end(1), by))
     return out
 
 
@@ -145,15 +147,18 @@ def all_spans(text: str) -> tuple[list, list]:
     """Base spans; all spans: those and the ones found in the normalised text, mapped back."""
     base, low = base_spans(text), text.lower()
     odd = not text.isascii() and _ODD.search(text) is not None
-    dots = any(w in low for w in _DOTS) and any(w in low for w in _ATS)
+    signs = _SIGN.search(text) is not None
+    if not text.isascii():
+        low = _BETWEEN.sub(" ", low)
     spelled = _RUN in bytes(map(_NAMED.__contains__, low.encode("utf-8", "surrogatepass").translate(FOLD).split()))
-    if not (odd or dots or spelled):
+    if not (odd or signs or spelled):
         return base, base
-    tape = Tape(text)
+    tape = None
     for edits in (_odd_edits, _digit_edits, _sign_edits):
-        if e := edits(tape.text):
+        if e := edits(tape.text if tape else text):
+            tape = tape or Tape(text)
             tape.rewrite(e)
-    if not any(tape.new):
+    if not tape or not any(tape.new):
         return base, base
     more = {(k, tape.first[a], tape.last[b - 1]) for k, a, b in base_spans(tape.text) if any(tape.new[a:b])}
     return base, sorted({*base, *more})

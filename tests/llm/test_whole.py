@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from normlake.llm import op4_simhash
+from normlake.llm import op4_simhash, op6_pii
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omikron pi rho sigma tau ypsilon phi chi psi omega".split()
 
@@ -46,3 +46,20 @@ def test_dedup_keeps_texts_that_share_a_long_word(spark):
     assert len({tuple(op4_simhash.wide_prints(t)) for _, t in rows}) == 1
     kept = op4_simhash.dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(x.doc_id for x in kept.collect()) == [1, 2]
+
+
+def test_pii_signs_alone():
+    """A disguise is found whatever other words the text has."""
+    for t, want in [("write to jane (at) example.com please", "jane (at) example.com"), ("mail jane at example.com now", "jane at example.com"), ("jane@example (dot) com", "jane@example (dot) com"), ("für jane [ät] example.org", "jane [ät] example.org"), ("JANE [ÄT] EXAMPLE [PUNKT] ORG", "JANE [ÄT] EXAMPLE [PUNKT] ORG")]:
+        base, found = op6_pii.all_spans(t)
+        assert want in [t[a:b] for k, a, b in found if k == 0] and (0, t.index(want), t.index(want) + len(want)) not in base, t
+
+
+def test_pii_spelled_between_signs_beyond_ascii():
+    t = "“plus\u00a0one\u00a0two\u00a0three\u2003four\u00a0five\u00a0six\u00a0seven\u00a0eight\u00a0nine”"
+    assert (3, 1, len(t) - 1) in op6_pii.all_spans(t)[1]
+
+
+def test_pii_long_runs():
+    for t in ("at " + "x" * 200_000, "at" + " " * 200_000 + "x"):
+        assert op6_pii.all_spans(t) == ([], [])
