@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -13,8 +14,11 @@ from pyspark.sql.types import StringType
 WS = "[ \\t\\n\\x0B\\f\\r\\u00A0\\uFEFF\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 #: Between the body of a page and its small print.
 FOOTNOTE_MARK = "\n⁣FN⁣\n"
-# Glyph codes beyond the shifted range.
+# Glyph codes beyond the shifted range; patterns of header lines, of hyphens at a line's end, of prose in registers.
 SHIFT_SPECIALS = {0x62: "ä", 0x67: "Ö", 0x68: "Ü", 0x6C: "ä", 0x7C: "ö", 0x81: "ü", 0x89: "ß", 0x86: "§", 0xAB: "–", 0xB1: "–", 0x2212: "-", 0xC4: "„", 0xB3: "“"}
+HEADER_LENGTH, SENTENCE_END, LETTER, NUMBER_FIRST, NUMBER_LAST = 80, "[.!?]$", "[A-Za-zÄÖÜäöüß]", f"^[0-9]{{1,4}}{WS}+\\S", f"{WS}[0-9]{{1,4}}$"
+WIDE_BLANK, BROKEN_WORD, BROKEN_NAME = "[\\u00A0\\u2000-\\u200B\\u202F\\u205F\\u2060\\u3000]", "([a-zäöüß])-[ \\t]*\\n[ \\t]*([a-zäöüß])", "-[ \\t]*\\n[ \\t]*(?=[A-ZÄÖÜ])"
+PROSE = "(?:\\p{Ll}{3,}\\s+){5}\\p{Ll}{3,}"
 # A token of a register of laws.
 REGISTER_TOKEN = (
     "^(?:§§?|Artt?\\.?|[0-9]{1,4}[a-z]{0,2}[.,;:]?|[IVXLivxl]{1,6}[.,;:]?|[a-zß]{1,2}[.,;:]?|ff?\\s?\\.[,;]?|Fn\\.?|pr\\.?[,;]?|Rn\\.?|Nrn?\\.?|Abs\\.?|S\\.?"
@@ -26,9 +30,28 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+@F.arrow_udf(StringType())
+def nfkc(s: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(s, form="NFKC")
+
+
+def nfkc_arrays(df: DataFrame, column: str, *names: str) -> DataFrame:
+    """df with nfkc() of the named fields of an array<struct> column: whole batches in one call, no string becomes a Python object."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            arrays = b.column(at)
+            each = arrays.values
+            fields = [pc.utf8_normalize(each.field(f.name), form="NFKC") if f.name in names else each.field(f.name) for f in each.type]
+            yield b.set_column(at, column, pa.ListArray.from_arrays(arrays.offsets, pa.StructArray.from_arrays(fields, fields=list(each.type))))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once a row: named columns are put in place of their names by the optimizer, lambda variables are not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def unshifted(raw: Column) -> Column:
@@ -65,8 +88,8 @@ def without_bare_numbers(raw: Column) -> Column:
 
 
 def header_like(line: Column) -> Column:
-    numbered = line.rlike(f"^[0-9]{{1,4}}{WS}+\\S") | line.rlike(f"{WS}[0-9]{{1,4}}$")
-    return F.length(line).between(1, 80) & ~F.contains(line, F.lit("§")) & ~line.rlike("[.!?]$") & line.rlike("[A-Za-zÄÖÜäöüß]") & numbered
+    numbered = line.rlike(NUMBER_FIRST) | line.rlike(NUMBER_LAST)
+    return F.length(line).between(1, HEADER_LENGTH) & ~F.contains(line, F.lit("§")) & ~line.rlike(SENTENCE_END) & line.rlike(LETTER) & numbered
 
 
 def without_running_header(raw: Column) -> Column:
@@ -81,18 +104,21 @@ def line_form(line: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "#"), f"{WS}+", " "))
 
 
-def cleaned(raw: Column) -> Column:
-    s = F.regexp_replace(nfkc(raw), "\\u00AD", "")
-    s = F.regexp_replace(s, "[\\u00A0\\u2000-\\u200B\\u202F\\u205F\\u2060\\u3000]", " ")
-    s = F.regexp_replace(s, "([a-zäöüß])-[ \\t]*\\n[ \\t]*([a-zäöüß])", "$1$2")
-    s = F.regexp_replace(s, "-[ \\t]*\\n[ \\t]*(?=[A-ZÄÖÜ])", "-")
+def tidied(s: Column) -> Column:
+    """Text in NFKC without soft hyphens, wide blanks, words broken at a line's end and runs of blanks."""
+    s = F.regexp_replace(F.regexp_replace(s, "\\u00AD", ""), WIDE_BLANK, " ")
+    s = F.regexp_replace(F.regexp_replace(s, BROKEN_WORD, "$1$2"), BROKEN_NAME, "-")
     return trimmed(F.regexp_replace(s, f"{WS}+", " "))
 
 
+def cleaned(raw: Column) -> Column:
+    return tidied(nfkc(raw))
+
+
 def register_like(text: Column) -> Column:
     """Twelve lines or more, eight signs or more; at least 60 % of the lines are mostly tokens of a register and at most 15 % prose."""
     lines = F.filter(F.transform(F.split(text, "\n", -1), trimmed), lambda x: F.length(x) > 0)
-    prose = lambda x: x.rlike("(?:\\p{Ll}{3,}\\s+){5}\\p{Ll}{3,}")
+    prose = lambda x: x.rlike(PROSE)
     tokens = lambda x: F.split(x, f"{WS}+", -1)
     good = lambda x: F.size(F.filter(tokens(x), lambda t: t.rlike(REGISTER_TOKEN))) / F.size(tokens(x)) >= 0.7
     n = F.size(lines)

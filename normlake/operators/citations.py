@@ -15,7 +15,7 @@ from normlake.session import ensure_code
 
 #: Greatest section number that is taken for one; characters of context that the checks look at.
 MAX_SECTION, BEFORE, AFTER = 2500, 60, 80
-# Contexts of literature.
+# Contexts of literature; codes that are none; words of prose, and endings of names of laws.
 RN_AFTER = "^\\s*(?:Rn|Rdnr|Rz|Rnr)\\.?\\s*[0-9]"
 HEADING_AFTER = "^\\s[A-ZÄÖÜ][a-zäöüß]{2,}"
 PAGE_AFTER = "^\\s?,\\s?S\\.\\s?[0-9]"
@@ -25,21 +25,29 @@ AUTHOR_BEFORE = (
     "|[A-ZÄÖÜ][a-zäöüß]+,\\s*[A-Za-zÄÖÜäöüß.\\- ]{1,28},\\s*)(?:vor\\s|Einf\\.\\s*v\\.\\s*)?$"
 )
 RN_CODE = "^(?i:Rn|Rdnr|Rz|Rnr)\\.?[0-9]*$"
+OUTLINE = "^(?:[IVX]+(?:\\s[0-9]+)?|[A-ZÄÖÜ])$"
+PROSE, LAW_NAME = "^[A-ZÄÖÜ][a-zäöüß]+$", "(?i)(?:gesetz|gesetzbuch|verordnung|ordnung)$"
 
 _DETAILS = pa.list_(pa.struct([("level", pa.string()), ("value", pa.string())]))
-_RAW = pa.schema([
-    ("doc_id", pa.int64()), ("chain_no", pa.int32()), ("leg_no", pa.int32()), ("ref_no", pa.int32()), ("raw", pa.string()), ("page", pa.int32()), ("char_index", pa.int32()),
+_RAW = [
+    ("chain_no", pa.int32()), ("leg_no", pa.int32()), ("ref_no", pa.int32()), ("raw", pa.string()), ("page", pa.int32()), ("char_index", pa.int32()),
     ("kind", pa.string()), ("number", pa.string()), ("number_end", pa.string()), ("ff", pa.string()), ("details", _DETAILS), ("candidate", pa.string()),
     ("modifiers", pa.list_(pa.string())), ("extra", pa.bool_()), ("connected", pa.bool_()), ("n_chain", pa.int32()), ("before", pa.string()), ("after", pa.string()),
-])
+]
+#: Behind the column doc_id, of any type.
 RAW_SCHEMA = (
-    "doc_id bigint, chain_no int, leg_no int, ref_no int, raw string, page int, char_index int, kind string, number string, number_end string, ff string, "
+    "chain_no int, leg_no int, ref_no int, raw string, page int, char_index int, kind string, number string, number_end string, ff string, "
     "details array<struct<level:string,value:string>>, candidate string, modifiers array<string>, extra boolean, connected boolean, n_chain int, before string, after string"
 )
+#: Documents whose pages are Python objects at once.
+AT_ONCE = 64
 
 
 def documents(clean: DataFrame) -> DataFrame:
-    """doc_id, pages: all pages of a document in order, as one row. A document is a book: bounded, and the unit in which citations run on."""
+    """doc_id, pages: all pages of a document in order, as one row. Takes pages or documents as cleaning makes them. A document is a book:
+    bounded, and the unit in which citations run on."""
+    if "pages" in clean.columns:
+        return clean
     return clean.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "body", "small"))).alias("pages"))
 
 
@@ -70,33 +78,42 @@ def joined_text(clean: DataFrame) -> DataFrame:
 
 
 def read(clean: DataFrame) -> DataFrame:
-    """Citations as written (RAW_SCHEMA). Documents without a sign are passed over before they reach Python."""
+    """Citations as written: doc_id and RAW_SCHEMA. Documents without a sign are passed over before they reach Python."""
     ensure_code(clean.sparkSession)
     sign = F.exists("pages", lambda p: p["body"].rlike("§|Art") | p["small"].rlike("§|Art"))
+    texts = documents(clean).where(sign).select("doc_id", F.transform("pages", lambda p: F.struct(p["page"].alias("page"), p["body"].alias("body"), p["small"].alias("small"))).alias("pages"))
+    names = ["doc_id", *(n for n, _ in _RAW)]
 
     def run(batches):
         for b in batches:
-            for at in range(b.num_rows):
-                doc_id, pages = b.column(0)[at].as_py(), b.column(1)[at].as_py()
-                text, starts, of = assembled(pages)
-                rows = []
-                for chain, (a, z, found, connected) in enumerate(grammar.citations(text)):
-                    for k, c in enumerate(found):
-                        n = c.norm
-                        rows.append((
-                            doc_id, chain, c.leg, k, c.raw, of[bisect.bisect_right(starts, c.at) - 1], c.at, n.kind, n.number, n.number_end, n.ff,
-                            [{"level": x, "value": y} for x, y in n.details], c.candidate, c.modifiers, c.extra, connected, len(found), text[max(0, a - BEFORE) : a], text[z : z + AFTER],
-                        ))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), _RAW)], schema=_RAW)
-
-    return documents(clean).where(sign).mapInArrow(run, RAW_SCHEMA)
+            of, rows = [], []
+            for at in range(0, b.num_rows, AT_ONCE):
+                for k, pages in enumerate(b.column(1).slice(at, AT_ONCE).to_pylist(), at):
+                    found = _read_one(pages)
+                    of += [k] * len(found)
+                    rows += found
+            columns = [pa.array(v, t) for v, (_, t) in zip(zip(*rows) if rows else [[]] * len(_RAW), _RAW)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *columns], names=names)
+
+    return texts.mapInArrow(run, f"doc_id {clean.schema['doc_id'].dataType.simpleString()}, {RAW_SCHEMA}")
+
+
+def _read_one(pages: list[dict]) -> list[tuple]:
+    """The values of _RAW for each citation of a document."""
+    text, starts, of = assembled(pages)
+    rows = []
+    for chain, (a, z, found, connected) in enumerate(grammar.citations(text)):
+        context = len(found), text[max(0, a - BEFORE) : a], text[z : z + AFTER]
+        for k, c in enumerate(found):
+            n, page = c.norm, of[bisect.bisect_right(starts, c.at) - 1]
+            rows.append((chain, c.leg, k, c.raw, page, c.at, n.kind, n.number, n.number_end, n.ff, [{"level": x, "value": y} for x, y in n.details], c.candidate, c.modifiers, c.extra, connected, *context))
+    return rows
 
 
 def check(raw: DataFrame, known: DataFrame, implicit_code: str | None = None, drop_rn: bool = False) -> DataFrame:
     """Citations: law codes checked, literature marked (verweis), junk dropped. `unresolved` holds a code that is kept without being known."""
     rn_code = F.coalesce(F.element_at(F.split("candidate", " "), 1).rlike(RN_CODE), F.lit(False))
-    outline = F.col("candidate").rlike("^[IVX]+(?:\\s[0-9]+)?$") | F.col("candidate").rlike("^[A-ZÄÖÜ]$")
+    outline = F.col("candidate").rlike(OUTLINE)
     rn = rn_code | F.col("after").rlike(RN_AFTER)
     rows = raw.where(~((F.col("kind") == "§") & (T.number_prefix(F.col("number")) > MAX_SECTION)))
     rows = rows.withColumn("modifiers", F.when(rn, F.array_union("modifiers", F.array(F.lit("Rn-context")))).otherwise(F.col("modifiers")))
@@ -109,7 +126,7 @@ def check(raw: DataFrame, known: DataFrame, implicit_code: str | None = None, dr
     rows = registry.resolve(registry.resolve(rows, known, "candidate"), known, "short", "s_").drop(*(k for k in keep if k != "verdict"), *(f"s_{k}" for k in keep if k != "verdict"))
     use_short = F.coalesce((F.col("verdict") == "unknown") & (F.col("s_verdict") == "known"), F.lit(False))
     code, verdict = F.when(use_short, F.col("short")).otherwise(F.col("candidate")), F.when(use_short, F.lit("known")).otherwise(F.col("verdict"))
-    prose = code.rlike("^[A-ZÄÖÜ][a-zäöüß]+$") & ~code.rlike("(?i)(?:gesetz|gesetzbuch|verordnung|ordnung)$")
+    prose = code.rlike(PROSE) & ~code.rlike(LAW_NAME)
     rows = rows.withColumn("law_code", F.when(verdict == "known", code).when((verdict == "unknown") & ~prose, code))
     rows = rows.withColumn("unresolved", F.when((verdict == "unknown") & F.col("law_code").isNotNull(), F.col("law_code")))
     rows = rows.where(~F.col("extra") | F.col("law_code").isNotNull())

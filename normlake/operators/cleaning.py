@@ -16,12 +16,23 @@ def _edges(lines: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(both, T.line_form), lambda x: F.length(x).between(1, 80)))
 
 
+def repeated(forms: Column, n_pages: Column) -> Column:
+    """The forms that come `least` times or more among `forms`, where least is half of the pages and three at least.
+
+    Sorted, such a form takes up `least` neighbouring places, so one of the places least, 2 x least, ...: twelve at most, as a page has six forms.
+    """
+    least = F.greatest(F.lit(3), F.ceil(n_pages / 2)).cast("int")
+    places = lambda f: F.sequence(F.lit(1), F.floor(F.size(f) / least).cast("int"))
+    some = lambda f: F.array_distinct(F.transform(places(f), lambda k: F.element_at(f, k * least)))
+    often = lambda f: F.filter(some(f), lambda x: F.size(F.filter(f, lambda y: y == x)) >= least)
+    none = F.array().cast("array<string>")
+    return F.when(n_pages < EDGE_PAGES, none).otherwise(T.let(F.array_sort(forms), lambda f: F.when(F.size(f) >= least, often(f)).otherwise(none)))
+
+
 def repeated_edges(pages: DataFrame, text: str = "body") -> DataFrame:
-    """doc_id, junk: forms of edge lines that at least half of a document's pages (three at least) have. At most twelve a document, as a page has six."""
-    sizes = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
-    seen = pages.select("doc_id", F.explode(_edges(F.split(text, "\n", -1))).alias("form")).groupBy("doc_id", "form").count()
-    often = seen.join(sizes, "doc_id").where((F.col("n_pages") >= EDGE_PAGES) & (F.col("count") >= F.greatest(F.lit(3), F.ceil(F.col("n_pages") / 2))))
-    return often.groupBy("doc_id").agg(F.collect_set("form").alias("junk"))
+    """doc_id, junk: forms of edge lines that at least half of a document's pages (three at least) have; documents without any have no row."""
+    found = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.flatten(F.collect_list(_edges(F.split(text, "\n", -1)))).alias("forms"))
+    return found.select("doc_id", repeated(F.col("forms"), F.col("n_pages")).alias("junk")).where(F.size("junk") > 0)
 
 
 def _led(lines: Column, junk: Column) -> Column:
@@ -41,17 +52,32 @@ def split_pages(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", raw.alias("raw")).select("doc_id", "page", T.without_bare_numbers(T.without_running_header(T.body(F.col("raw")))).alias("body"), T.small_print(F.col("raw")).alias("small"))
 
 
+def clean_documents(pages: DataFrame) -> DataFrame:
+    """doc_id, pages: a row for each document, its cleaned pages in order as (page, body, small, register); body and small print are empty on register pages.
+
+    A document is a book: bounded, and the unit of what repeats on its pages and of the sentences that run over them. So its pages meet
+    once, in one exchange, and every later step is within the row. Pages whose doc_id is null are one document.
+    """
+    split = split_pages(pages).withColumn("edges", _edges(F.split("body", "\n", -1)))
+    books = split.groupBy("doc_id").agg(F.collect_list(F.struct("page", "body", "small", "edges")).alias("p"))
+
+    def bare(p: Column, junk: Column) -> Column:
+        """Pages without their repeated edges; whether they are register pages."""
+        lined = lambda x: F.when(F.size(junk) > 0, without_edges(F.split(x["body"], "\n", -1), junk)).otherwise(x["body"])
+        tail = lambda x: (F.size(p) >= REGISTER_PAGES) & (x["page"] - 1 >= F.floor(F.size(p) * TAIL))
+        made = lambda x, b: F.struct(x["page"].alias("page"), b.alias("body"), x["small"].alias("small"), F.when(tail(x), T.register_like(b)).otherwise(F.lit(False)).alias("register"))
+        return F.transform(p, lambda x: T.let(lined(x), lambda b: made(x, b)))
+
+    forms = lambda p: F.flatten(F.transform(p, lambda x: x["edges"]))
+    whole = T.let(F.array_sort("p"), lambda p: T.let(repeated(forms(p), F.size(p)), lambda junk: bare(p, junk)))
+    texts = T.nfkc_arrays(books.select("doc_id", whole.alias("p")), "p", "body", "small")
+    kept = lambda p, c: F.when(p["register"], "").otherwise(T.tidied(p[c])).alias(c)
+    return texts.select("doc_id", F.transform("p", lambda p: F.struct(p["page"].alias("page"), kept(p, "body"), kept(p, "small"), p["register"].alias("register"))).alias("pages"))
+
+
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """doc_id, page, body, small, register: body and small print cleaned; both empty on register pages, which `register` marks."""
-    split = split_pages(pages)
-    junk = repeated_edges(split)
-    sizes = split.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
-    with_junk = split.join(sizes, "doc_id").join(junk, "doc_id", "left")
-    lined = with_junk.withColumn("body", F.when(F.col("junk").isNotNull(), without_edges(F.split("body", "\n", -1), F.col("junk"))).otherwise(F.col("body")))
-    tail = (F.col("n_pages") >= REGISTER_PAGES) & (F.col("page") - 1 >= F.floor(F.col("n_pages") * TAIL))
-    marked = lined.withColumn("register", tail & T.register_like(F.col("body")))
-    blank = lambda c: F.when(F.col("register"), F.lit("")).otherwise(T.cleaned(F.col(c))).alias(c)
-    return marked.select("doc_id", "page", blank("body"), blank("small"), "register")
+    """doc_id, page, body, small, register: the pages of clean_documents()."""
+    return clean_documents(pages).select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.*")
 
 
 def register_warnings(clean: DataFrame) -> DataFrame:

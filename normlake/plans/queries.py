@@ -86,7 +86,7 @@ def corpus(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
 
 
 def cited(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
-    return citations.extract(cleaning.clean_pages(corpus(spark, sf_dir, form)), _known(spark))
+    return citations.extract(cleaning.clean_documents(corpus(spark, sf_dir, form)), _known(spark))
 
 
 def cite(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:

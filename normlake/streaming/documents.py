@@ -30,7 +30,7 @@ def start(documents: DataFrame, known: DataFrame, sink: Callable[[DataFrame, int
     """Citations of each batch to sink(frame, batch number)."""
 
     def one(batch: DataFrame, number: int) -> None:
-        sink(citations.extract(cleaning.clean_pages(pages(batch)), known), number)
+        sink(citations.extract(cleaning.clean_documents(pages(batch)), known), number)
 
     return documents.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
