@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,24 +27,42 @@ REGISTER_TOKEN = (
 )
 
 
+#: The same blanks as characters, and all of them but the plain one.
+_BLANKS = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_OTHER = WS.replace("[ ", "[", 1)
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
+
+
+def single_blanks(c: Column) -> Column:
+    """Every run of blanks as one plain blank; text that has only those is left as it is."""
+    return F.regexp_replace(c, f"{WS}{{2,}}|{_OTHER}", " ")
+
+
+def _nfkc(s: pa.Array) -> pa.Array:
+    """Only strings beyond ASCII become Python objects. (Arrow's own utf8_normalize leaves NFKC decomposed.)"""
+    odd = pc.fill_null(pc.invert(pc.string_is_ascii(s)), False)
+    if not pc.any(odd).as_py():
+        return s
+    return pc.replace_with_mask(s, odd, pa.array([unicodedata.normalize("NFKC", x) for x in s.filter(odd).to_pylist()], s.type))
 
 
 @F.arrow_udf(StringType())
 def nfkc(s: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(s, form="NFKC")
+    return _nfkc(s)
 
 
 def nfkc_arrays(df: DataFrame, column: str, *names: str) -> DataFrame:
-    """df with nfkc() of the named fields of an array<struct> column: whole batches in one call, no string becomes a Python object."""
+    """df with nfkc() of the named fields of an array<struct> column: whole batches in one call."""
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             arrays = b.column(at)
             each = arrays.values
-            fields = [pc.utf8_normalize(each.field(f.name), form="NFKC") if f.name in names else each.field(f.name) for f in each.type]
+            fields = [_nfkc(each.field(f.name)) if f.name in names else each.field(f.name) for f in each.type]
             yield b.set_column(at, column, pa.ListArray.from_arrays(arrays.offsets, pa.StructArray.from_arrays(fields, fields=list(each.type))))
 
     return df.mapInArrow(run, df.schema)
@@ -63,12 +82,13 @@ def unshifted(raw: Column) -> Column:
     control = F.length(F.regexp_replace(raw, "[^\\x03-\\x08\\x0B\\x0C\\x0E-\\x1F]", ""))
     out = F.translate(raw, source, target)
     readable = F.length(F.regexp_replace(out, "[^A-Za-zÄÖÜäöüß0-9 .,§()]", ""))
-    return F.when((total >= 50) & (control / total >= 0.1) & (readable / total > 0.85), out).otherwise(raw)
+    # Hardly any page has a control character: the others are looked through once.
+    return F.when(raw.rlike("[\\x03-\\x08\\x0B\\x0C\\x0E-\\x1F]"), F.when((total >= 50) & (control / total >= 0.1) & (readable / total > 0.85), out).otherwise(raw)).otherwise(raw)
 
 
 def single_layer(raw: Column) -> Column:
     """Text without its second copy: from where its first 80 characters come again, if that is behind its first third."""
-    probe = F.substring(F.regexp_replace(raw, f"^{WS}+", ""), 1, 80)
+    probe = F.substring(F.ltrim(raw, F.lit(_BLANKS)), 1, 80)
     again = F.call_function("locate", probe, raw, F.lit(101)) - 1
     return F.when((F.length(probe) >= 40) & (again > F.length(raw) / 3), F.substring(raw, F.lit(1), again)).otherwise(raw)
 
@@ -101,14 +121,14 @@ def without_running_header(raw: Column) -> Column:
 
 def line_form(line: Column) -> Column:
     """A line with its numbers as one sign each and single blanks: equal for repeated headers."""
-    return trimmed(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "#"), f"{WS}+", " "))
+    return trimmed(single_blanks(F.regexp_replace(line, "[0-9]+", "#")))
 
 
 def tidied(s: Column) -> Column:
     """Text in NFKC without soft hyphens, wide blanks, words broken at a line's end and runs of blanks."""
-    s = F.regexp_replace(F.regexp_replace(s, "\\u00AD", ""), WIDE_BLANK, " ")
+    s = F.regexp_replace(F.replace(s, F.lit("\u00ad"), F.lit("")), WIDE_BLANK, " ")
     s = F.regexp_replace(F.regexp_replace(s, BROKEN_WORD, "$1$2"), BROKEN_NAME, "-")
-    return trimmed(F.regexp_replace(s, f"{WS}+", " "))
+    return trimmed(single_blanks(s))
 
 
 def cleaned(raw: Column) -> Column:
@@ -170,4 +190,4 @@ def stripped_xml(text: Column) -> Column:
     s = F.regexp_replace(text, "<[^>]+>", " ")
     for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         s = F.replace(s, F.lit(a), F.lit(b))
-    return trimmed(F.regexp_replace(s, f"{WS}+", " "))
+    return trimmed(single_blanks(s))

@@ -48,7 +48,7 @@ def documents(clean: DataFrame) -> DataFrame:
     bounded, and the unit in which citations run on."""
     if "pages" in clean.columns:
         return clean
-    return clean.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "body", "small"))).alias("pages"))
+    return clean.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "body", "small"))).alias("pages"))
 
 
 def assembled(pages: list[dict]) -> tuple[str, list[int], list[int]]:

@@ -12,7 +12,7 @@ EDGE, EDGE_PAGES, REGISTER_PAGES, TAIL = 3, 4, 40, 0.75
 
 
 def _edges(lines: Column) -> Column:
-    both = F.concat(F.slice(lines, 1, EDGE), F.slice(lines, F.greatest(F.size(lines) - (EDGE - 1), F.lit(1)), EDGE))
+    both = F.array_distinct(F.concat(F.slice(lines, 1, EDGE), F.slice(lines, F.greatest(F.size(lines) - (EDGE - 1), F.lit(1)), EDGE)))
     return F.array_distinct(F.filter(F.transform(both, T.line_form), lambda x: F.length(x).between(1, 80)))
 
 
@@ -26,7 +26,7 @@ def repeated(forms: Column, n_pages: Column) -> Column:
     some = lambda f: F.array_distinct(F.transform(places(f), lambda k: F.element_at(f, k * least)))
     often = lambda f: F.filter(some(f), lambda x: F.size(F.filter(f, lambda y: y == x)) >= least)
     none = F.array().cast("array<string>")
-    return F.when(n_pages < EDGE_PAGES, none).otherwise(T.let(F.array_sort(forms), lambda f: F.when(F.size(f) >= least, often(f)).otherwise(none)))
+    return F.when(n_pages < EDGE_PAGES, none).otherwise(T.let(F.sort_array(forms), lambda f: F.when(F.size(f) >= least, often(f)).otherwise(none)))
 
 
 def repeated_edges(pages: DataFrame, text: str = "body") -> DataFrame:
@@ -48,8 +48,9 @@ def without_edges(lines: Column, junk: Column) -> Column:
 
 def split_pages(pages: DataFrame) -> DataFrame:
     """doc_id, page, body (lines intact, headers and bare numbers gone), small."""
-    raw = T.single_layer(T.unshifted(F.coalesce(F.col("raw"), F.lit(""))))
-    return pages.select("doc_id", "page", raw.alias("raw")).select("doc_id", "page", T.without_bare_numbers(T.without_running_header(T.body(F.col("raw")))).alias("body"), T.small_print(F.col("raw")).alias("small"))
+    raw = T.let(T.unshifted(F.coalesce(F.col("raw"), F.lit(""))), T.single_layer)
+    body = T.let(T.body(F.col("raw")), lambda b: T.without_bare_numbers(T.without_running_header(b)))
+    return pages.select("doc_id", "page", raw.alias("raw")).select("doc_id", "page", body.alias("body"), T.small_print(F.col("raw")).alias("small"))
 
 
 def clean_documents(pages: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def clean_documents(pages: DataFrame) -> DataFrame:
         return F.transform(p, lambda x: T.let(lined(x), lambda b: made(x, b)))
 
     forms = lambda p: F.flatten(F.transform(p, lambda x: x["edges"]))
-    whole = T.let(F.array_sort("p"), lambda p: T.let(repeated(forms(p), F.size(p)), lambda junk: bare(p, junk)))
+    whole = T.let(F.sort_array("p"), lambda p: T.let(repeated(forms(p), F.size(p)), lambda junk: bare(p, junk)))
     texts = T.nfkc_arrays(books.select("doc_id", whole.alias("p")), "p", "body", "small")
     kept = lambda p, c: F.when(p["register"], "").otherwise(T.tidied(p[c])).alias(c)
     return texts.select("doc_id", F.transform("p", lambda p: F.struct(p["page"].alias("page"), kept(p, "body"), kept(p, "small"), p["register"].alias("register"))).alias("pages"))

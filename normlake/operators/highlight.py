@@ -18,7 +18,7 @@ def hits(items: DataFrame, targets: DataFrame) -> DataFrame:
     part = items.select("doc_id", "page", "item_no", squeezed(F.coalesce("str", F.lit(""))).alias("part"))
     before = Window.partitionBy("doc_id", "page").orderBy("item_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = part.withColumn("start", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0))).withColumn("end", F.col("start") + F.length("part"))
-    streams = part.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_no", "part"))), lambda x: x["part"]), "").alias("stream"))
+    streams = part.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_no", "part"))), lambda x: x["part"]), "").alias("stream"))
     wanted = targets.select("doc_id", "page", squeezed(F.col("target")).alias("t")).where(F.length("t") >= 2).distinct()
     at = F.filter(F.sequence(F.lit(1), F.length("stream") - F.length("t") + 1), lambda k: F.substring(F.col("stream"), k, F.length("t")) == F.col("t"))
     found = wanted.join(streams, ["doc_id", "page"]).where(F.contains("stream", F.col("t")))

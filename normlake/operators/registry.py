@@ -54,15 +54,15 @@ def dictionary(spark: SparkSession, slugs: DataFrame | None = None) -> DataFrame
 def resolve(codes: DataFrame, known: DataFrame, code: str, prefix: str = "") -> DataFrame:
     """codes with verdict (reject, known, unknown), slug, is_eu, work_kind, display, repealed, successor, each name after `prefix`.
 
+    Rows with a null code have no verdict. How the dictionary is joined is a matter of the frame `known`: sized() marks a small one.
+
     Order: reject list, alias (an empty one ends the search), other works, European law, the pattern of numbered European acts, slug,
     slug with _ for umlauts, slug with a year behind the key, repealed laws, ending in VO or RL.
     """
     plain, umlaut = known.select(F.struct(*known.columns).alias("_k")), known.select(F.struct("key", "direct", "prefixed").alias("_u"))
-    small = known.sparkSession.conf.get("normlake.dictionary.broadcast", "true") == "true"
-    hint = F.broadcast if small else (lambda x: x)
     key, c = T.code_key(F.col(code)), F.col(code)
     keyed = codes.withColumn("_key", key).withColumn("_ukey", F.regexp_replace("_key", "[äöü]", "_"))
-    met = keyed.join(hint(plain), F.col("_key") == F.col("_k.key"), "left").join(hint(umlaut), F.col("_ukey") == F.col("_u.key"), "left")
+    met = keyed.join(plain, F.col("_key") == F.col("_k.key"), "left").join(umlaut, F.col("_ukey") == F.col("_u.key"), "left")
     numbered = F.col("_key").rlike("^(vo|verordnung|rl|richtlinie)\\(?(eu|eg|ewg)\\)?(nr)?[0-9]+/[0-9]+$")
     ending = F.col("_key").rlike("(?:vo|rl)$") & (F.length("_key") > 3)
     k = lambda n: F.col(f"_k.{n}")
@@ -89,8 +89,6 @@ def resolve(codes: DataFrame, known: DataFrame, code: str, prefix: str = "") ->
     return met.withColumn("_f", found).withColumns({f"{prefix}verdict": verdict} | {f"{prefix}{f}": F.col(f"_f.{f}") for f in fields}).drop("_key", "_ukey", "_k", "_u", "_f")
 
 
-def sized(known: DataFrame) -> DataFrame:
-    """The dictionary, checked: it is broadcast only with at most BROADCAST_ROWS rows."""
-    n = known.count()
-    known.sparkSession.conf.set("normlake.dictionary.broadcast", "true" if n <= BROADCAST_ROWS else "false")
-    return known
+def sized(known: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The dictionary, counted: marked for broadcast with at most `most` rows. The mark travels with this frame and with no other."""
+    return F.broadcast(known) if known.count() <= most else known

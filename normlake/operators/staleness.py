@@ -39,7 +39,7 @@ def compared(rows: DataFrame, versions: DataFrame) -> DataFrame:
     both = each.join(side("then"), ["slug", "then_sha", "kind", "number"], "left").join(side("now"), ["slug", "now_sha", "kind", "number"], "left")
     lost = F.col("then_text").isNull() & F.col("now_text").isNull()
     differs = ~lost & ~F.col("then_text").eqNullSafe(F.col("now_text"))
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("k", "number")))), lambda x: x["number"])
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("k", "number")))), lambda x: x["number"])
     return both.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"), listed(differs).alias("changed"), listed(lost).alias("unknown"))
 
 

@@ -35,16 +35,41 @@ def ensure_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. One of our own only where that is unset and the driver is the
+    only executor; on a cluster there is none to fall back on, as every machine would write to its own disk."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is unset: on {master} intermediate results need a folder that all executors share")
         where = os.path.join(tempfile.gettempdir(), "normlake-checkpoints")
     return where.rstrip("/")
 
 
+#: Folders that materialize() has written and nobody has dropped, by session.
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read back: plans that use it several times don't compute it anew, nor do lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/normlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark(spark: SparkSession) -> int:
+    """A point to which drop_since() goes back."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def drop_since(spark: SparkSession, point: int, keep: int = 0) -> None:
+    """Delete what was materialized after `point`, but for the last `keep`. No frame that is still to be computed may read from it."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    gone = paths[point : len(paths) - keep]
+    del paths[point : len(paths) - keep]
+    jvm = spark.sparkContext._jvm
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -41,7 +41,7 @@ def amendment_dates(xml: Column) -> Column:
     notes = F.regexp_extract_all(F.substring(xml, 1, HEAD), F.lit("<standkommentar>([^<]*)</standkommentar>"), F.lit(1))
     written = F.flatten(F.transform(notes, lambda n: F.regexp_extract_all(n, F.lit("v\\.?\\s*([0-9]{1,2}\\.\\s?[0-9]{1,2}\\.\\s?[0-9]{4})"), F.lit(1))))
     parts = lambda d: F.split(F.regexp_replace(d, "\\s", ""), "\\.")
-    return F.array_sort(F.transform(written, lambda d: F.concat(parts(d)[2], F.lit("-"), F.lpad(parts(d)[1], 2, "0"), F.lit("-"), F.lpad(parts(d)[0], 2, "0"))))
+    return F.sort_array(F.transform(written, lambda d: F.concat(parts(d)[2], F.lit("-"), F.lpad(parts(d)[1], 2, "0"), F.lit("-"), F.lpad(parts(d)[0], 2, "0"))))
 
 
 def last_amended(xml: Column) -> Column:
