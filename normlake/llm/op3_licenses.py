@@ -2,7 +2,10 @@
 
 A template is license wording with markup: `<<opt>> ... <</opt>>` may be absent, `<<var:N>>` stands for up to N arbitrary words.
 Each template is compiled into a small automaton over word tokens; a text is accepted from a word on if the mandatory words follow
-each other exactly, with optional regions present or absent and replaceable regions of any wording within their length.
+each other exactly, with optional regions present or absent and replaceable regions of any wording within their length. Templates are whole
+license texts and notices (accepted as a whole or not at all), one-sentence grants and SPDX lines, in `license_texts`.
+
+The same markup is also written as a regular expression over words (`pattern`), for the SQL and the tests.
 
 Defined results: null or empty text has no words, no labels and score 0; repeated rows are scanned each; extra columns are ignored.
 """
@@ -15,32 +18,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from normlake.llm import common
+from normlake.llm import common, license_texts
+from normlake.llm.license_texts import TEMPLATES
 from normlake.llm.op10_decontaminate import FOLD
 
 #: Fixed values of the contract: phrase and label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: License notices; the wording is that of the public notices.
-TEMPLATES = {
-    "apache-2.0": "licensed under the apache license <<opt>>,<</opt>> version 2.0",
-    "apache-2.0-notice": "licensed under the apache license <<opt>>,<</opt>> version 2.0 the license you may not use this file except in compliance with the license",
-    "mit": "<<opt>>released<</opt>> <<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "cc-by-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> cc by <<opt>>international<</opt>> 4.0",
-    "cc-by-nc-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> cc by nc 4.0 <<opt>>international<</opt>>",
-    "cc-by-sa-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> cc by sa 4.0 <<opt>>international<</opt>>",
-    "cc-by-nc-sa-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> cc by nc sa 4.0 <<opt>>international<</opt>>",
-    "cc-long": "licensed under a creative commons attribution <<var:4>> 4.0 international license",
-    "gpl-3.0": "<<opt>>this<</opt>> <<var:3>> is licensed under the gnu general public license <<opt>>,<</opt>> version 3",
-    "gpl-2.0": "<<opt>>this<</opt>> <<var:3>> is licensed under the gnu general public license <<opt>>,<</opt>> version 2",
-    "gpl-notice": "under the terms of the gnu general public license as published by the free software foundation either version <<var:1>> of the license or <<opt>>at your option<</opt>> any later version",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc": "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license <<opt>>,<</opt>> v 2.0",
-    "notice-reserved": "copyright <<opt>>c<</opt>> <<var:8>> all rights reserved",
-}
-
 ANY = None
 
 
@@ -111,19 +95,30 @@ def places(flat: str, phrase: str) -> Iterator[int]:
         at = flat.find(phrase, at + 1)
 
 
+def _parts(template: str) -> list[str]:
+    """The mandatory runs of a template."""
+    return re.split(r"<<opt>>.*?<</opt>>|<<[^>]*>>", template, flags=re.S)
+
+
 class Scanner:
-    """All templates; a text is tried only where a template's anchor, its longest run of mandatory words, occurs."""
+    """All templates; a text is tried only where a template's anchor, its longest run of mandatory words, occurs. `hints` are words of which
+    one stands in every anchor and phrase: a text without any of them is passed over."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES):
-        self.all = []
+    def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES):
+        self.all, self.phrases = [], phrases
         for label, t in templates.items():
-            plain = re.split(r"<<opt>>.*?<</opt>>|<<[^>]*>>", t)
-            before, anchor, reach = 0, "", 0
-            for p in plain:
-                if len(tokens(p)) > len(tokens(anchor)):
-                    anchor = p
-            reach = len(tokens(re.sub(r"<<[^>]*>>", " ", t.split(anchor)[0]))) + sum(int(n) for n in re.findall(r"<<var:(\d+)>>", t.split(anchor)[0]))
-            self.all.append((label, " " + " ".join(tokens(anchor)) + " ", reach, Automaton(t)))
+            anchor = max(_parts(t), key=lambda p: len(tokens(p)))
+            if not tokens(anchor):
+                raise ValueError(f"template {label} has no mandatory word")
+            # The anchor begins at most so many words behind the place where a match begins.
+            before = t[: t.index(anchor)]
+            reach = len(tokens(re.sub(r"<<[^>]*>>", " ", before))) + sum(map(int, re.findall(r"<<var:(\d+)>>", before)))
+            self.all.append((label, f" {' '.join(tokens(anchor))} ", reach, Automaton(t)))
+        # Few words that hit all: the longest word of each, unless one that is there already does.
+        self.hints: list[str] = []
+        for words in sorted((tokens(a) for _, a, _, _ in self.all), key=len) + [tokens(p) for p in phrases]:
+            if not any(h in words for h in self.hints):
+                self.hints.append(max(words, key=len))
 
     def labels(self, words: list[str], flat: str) -> list[tuple[str, int, int]]:
         """(label, first word, end) of the leftmost match at each place of an anchor."""
@@ -137,17 +132,13 @@ class Scanner:
         return out
 
 
-#: Any of these words must stand in a text with a base phrase or a template.
-HINTS = ("license", "cc", "rights", "copyright", "permission", "redistribution")
-
-
 def scan_text(scanner: Scanner, text: str | None) -> tuple:
     words = tokens(text)
     flat = f" {' '.join(words)} "
-    if not any(f" {h} " in flat for h in HINTS):
+    if not any(f" {h} " in flat for h in scanner.hints):
         return len(words), 0, None, None, "", "", 0.0
     starts, base = [], set()
-    for phrase, label in PHRASES.items():
+    for phrase, label in scanner.phrases.items():
         found = list(places(flat, f" {phrase} "))
         starts += found
         base |= {label} if found else set()
@@ -170,5 +161,36 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "te
     return common.arrow_map(docs.select(key, text), run, f"`{key}` {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
 
 
+def pattern(template: str) -> str:
+    """A regular expression for words with a blank behind each."""
+    out = []
+    for part in re.split(r"(<<[^>]*>>)", template):
+        if m := re.fullmatch(r"<<var:(\d+)>>", part):
+            out.append(f"(?:[^ ]+ ){{0,{m[1]}}}")
+        else:
+            out.append({"<<opt>>": "(?:", "<</opt>>": ")?"}.get(part) or "".join(f"{w} " for w in tokens(part)))
+    return "".join(out)
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    at = {p: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p in PHRASES}
+    hits = ", ".join(f"list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: {c}) AS p{k}" for k, (p, c) in enumerate(at.items()))
+    base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES.values()))
+    more = ", ".join(f"CASE WHEN regexp_matches(flat, ' {pattern(t)}') THEN '{label}' END" for label, t in TEMPLATES.items())
+    shown = "array_to_string(list_sort(list_distinct(list_filter({}, lambda x: x IS NOT NULL))), ',')".format
+    return f"""
+WITH ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, ' ' || array_to_string(w, ' ') || ' ' AS flat, {hits} FROM ws),
+l AS (SELECT doc_id, n, {" || ".join(f"p{k}" for k in range(len(PHRASES)))} AS b, [{base}] AS base, [{more}] AS more FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(b) AS BIGINT) AS n_base, CAST(list_min(b) - 1 AS BIGINT) AS first_word, CAST(list_max(b) - 1 AS BIGINT) AS last_word,
+{shown("base")} AS base_labels, {shown("base || more")} AS labels,
+CASE WHEN len(list_filter(more, lambda x: x IS NOT NULL)) > 0 THEN 1.0::DOUBLE WHEN len(b) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM l
+"""
+
+
+ORACLE = _oracle()
