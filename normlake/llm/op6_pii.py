@@ -2,8 +2,9 @@
 
 Identifiers are found in the text as it stands (the base spans) and again in a normalised copy. The copy is made by transducers, each of
 which hands on, for every character it writes, the span of source characters it stands for: look-alike letters and full-width forms become
-ASCII, zero-width characters vanish, runs of spelled digits become digits, and `(at)`, `[dot]`, `name at host dot tld` become `@` and `.`.
-Spans found in the copy that hold a changed character are mapped back to the source and added under their kind.
+ASCII, zero-width characters vanish, spelled digits become digits (alone, or mixed with groups of digits, with spelled dots between them as
+in an address), and `(at)`, `[dot]`, `name at host dot tld` become `@` and `.`. Spans found in the copy that hold a changed character are
+mapped back to the source and added under their kind.
 
 Defined results: null or empty text has no spans; repeated rows are scanned each; offsets are code points of the whole original text;
 extra columns are ignored.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,19 +43,25 @@ _DIGITS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-_WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
-#: Seven digits or more, at least one of them spelled, with blanks, commas, hyphens, dots or brackets between.
-_SPELLED = re.compile(rf"(?<![^\W_])(?:{_WORD}|[0-9])(?:[\s,.()-]{{1,3}}(?:{_WORD}|[0-9])(?![^\W_])){{6,}}", re.I)
-#: Digits and their names as words of op10's kind, and seven of them in a row.
-_NAMED = frozenset(w.encode() for w in [*_DIGITS, *"0123456789"])
-_RUN = b"\x01" * 7
-_DIGIT = re.compile(rf"(?<![^\W_])({_WORD})(?![^\W_])[\s,]*", re.I)
+_DOTS = ("dot", "punkt", "punto", "point")
+_WORD, _DOTTED = "|".join(sorted(_DIGITS, key=len, reverse=True)), "|".join(_DOTS)
+#: Spelled digits and groups of digits, with blanks, commas, hyphens, dots, brackets or a spelled dot between.
+_SPELLED = re.compile(rf"(?<![^\W_])(?:{_WORD}|[0-9]+)(?:(?:[\s,.()-]{{1,3}}|\s{{1,3}}(?:{_DOTTED})\s{{1,3}})(?:{_WORD}|[0-9]+)(?![^\W_]))+", re.I)
+_UNIT = re.compile(rf"({_WORD})|([0-9]+)|({_DOTTED})", re.I)
+_GAP = re.compile(r"[\s,]*")
+#: Digits that such a run has at least, unless three spelled dots part it into an address.
+_LEAST = 7
+#: Their names, and those of dots, as words of op10's kind.
+_NAMED = dict.fromkeys((w.encode() for w in _DIGITS), 1) | dict.fromkeys((w.encode() for w in _DOTS), 2)
 _PLUS = re.compile(r"(?<![^\W_])plus\s+$", re.I)
 # Runs of blanks, and what is before a plain `at`, are tried once, not from each of their characters.
-_AT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*(?:at|arroba|arobase|ät)\s*[\])}>]\s*", re.I)
-_DOT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*(?:dot|punkt|punto|point)\s*[\])}>]\s*", re.I)
-_PLAIN = re.compile(r"(?<=[A-Za-z0-9_%+.-])(\s+(?:at|arroba|arobase|ät)\s+)[A-Za-z0-9-]+(?:(?:\s+(?:dot|punkt|punto|point)\s+|\.)[A-Za-z0-9-]+)+", re.I)
-_PLAIN_DOT = re.compile(r"\s+(?:dot|punkt|punto|point)\s+", re.I)
+_AT_WORD, _DOT_WORD, _OPEN, _CLOSE = "(?:at|arroba|arobase|ät)", f"(?:{_DOTTED})", r"[\[({<]\s*", r"\s*[\])}>]"
+_AT = re.compile(rf"(?:(?<!\s)\s++)?{_OPEN}{_AT_WORD}{_CLOSE}\s*", re.I)
+_DOT = re.compile(rf"(?:(?<!\s)\s++)?{_OPEN}{_DOT_WORD}{_CLOSE}\s*", re.I)
+# An address with plain words for its signs, or with some in brackets.
+_ANY_DOT = rf"(?:\s+{_DOT_WORD}\s+|\s*{_OPEN}{_DOT_WORD}{_CLOSE}\s*)"
+_PLAIN = re.compile(rf"(?<=[A-Za-z0-9_%+.-])(\s+{_AT_WORD}\s+|\s*{_OPEN}{_AT_WORD}{_CLOSE}\s*|@)[A-Za-z0-9-]+(?:(?:{_ANY_DOT}|\.)[A-Za-z0-9-]+)+", re.I)
+_PLAIN_DOT = re.compile(_ANY_DOT, re.I)
 #: A text without any of these has no sign to undo; parts of a text between words.
 _SIGN, _BETWEEN = re.compile("dot|punkt|punto|point|at|arroba|arobase|ät", re.I), re.compile(r"[\W_]")
 
@@ -120,21 +128,47 @@ def _odd_edits(text: str) -> list:
 
 
 def _digit_edits(text: str) -> list:
-    out = []
+    out: list = []
     for m in _SPELLED.finditer(text):
+        units = list(_UNIT.finditer(text, m.start(), m.end()))
+        dots = sum(u[3] is not None for u in units)
+        if dots < 3 and (not any(u[1] for u in units) or sum(1 if u[1] else len(u[2] or "") for u in units) < _LEAST):
+            continue
         if p := _PLUS.search(text, max(0, m.start() - 8), m.start()):
             out.append((p.start(), p.end(), "+"))
-        for d in _DIGIT.finditer(text, m.start(), m.end()):
-            # Blanks between digits go with the digit before; after the last one they stay.
-            if by := _DIGITS.get(d[1].lower()):
-                out.append((d.start(), d.end() if d.end() < m.end() else d.end(1), by))
+        at = m.start()
+        for u, after in zip(units, [*units[1:], None]):
+            # Blanks and commas beside a spelled digit go with it; between groups of digits, and behind the last unit, they stay.
+            gap = text[u.end() : after.start()] if after else None
+            end = after.start() if after and (u[3] or after[3] is None and (u[1] or after[1])) and _GAP.fullmatch(gap) else u.end()
+            if u[1]:
+                out.append((max(at, u.start()), end, _DIGITS[u[1].lower()]))
+            elif u[3]:
+                # A spelled dot takes the blanks before it, which its neighbour leaves.
+                out.append((at, end, "."))
+            elif end > u.end():
+                out.append((u.end(), end, ""))
+            at = max(end, u.end())
     return out
 
 
+def _spelled(low: str) -> bool:
+    """Whether a spelled digit stands beside another one, a spelled dot or digits, or a spelled dot between digits."""
+    words = low.encode("utf-8", "surrogatepass").translate(FOLD).split()
+    kinds = bytes(map(_NAMED.get, words, repeat(0)))
+    for kind, both in ((1, any), (2, all)):
+        at = kinds.find(kind)
+        while at >= 0:
+            if both(0 <= k < len(words) and (kinds[k] or words[k].isdigit()) for k in (at - 1, at + 1)):
+                return True
+            at = kinds.find(kind, at + 1)
+    return False
+
+
 def _sign_edits(text: str) -> list:
     found = [(m.start(), m.end(), "@") for m in _AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]
     for m in _PLAIN.finditer(text):
-        found.append((m.start(1), m.end(1), "@"))
+        found += [(m.start(1), m.end(1), "@")] if m[1] != "@" else []
         found += [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(text, m.end(1), m.end())]
     out: list = []
     for e in sorted(found):
@@ -150,8 +184,7 @@ def all_spans(text: str) -> tuple[list, list]:
     signs = _SIGN.search(text) is not None
     if not text.isascii():
         low = _BETWEEN.sub(" ", low)
-    spelled = _RUN in bytes(map(_NAMED.__contains__, low.encode("utf-8", "surrogatepass").translate(FOLD).split()))
-    if not (odd or signs or spelled):
+    if not (odd or signs or _spelled(low)):
         return base, base
     tape = None
     for edits in (_odd_edits, _digit_edits, _sign_edits):
