@@ -56,7 +56,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/normlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._normlake_path = path
+    return out
 
 
 def mark(spark: SparkSession) -> int:
@@ -67,9 +69,18 @@ def mark(spark: SparkSession) -> int:
 def drop_since(spark: SparkSession, point: int, keep: int = 0) -> None:
     """Delete what was materialized after `point`, but for the last `keep`. No frame that is still to be computed may read from it."""
     paths = _written.get(spark.sparkContext.applicationId, [])
-    gone = paths[point : len(paths) - keep]
-    del paths[point : len(paths) - keep]
-    jvm = spark.sparkContext._jvm
+    _delete(spark, paths[point : len(paths) - keep])
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what these frames, made by materialize(), read. No frame that is still to be computed may read from it."""
+    for f in frames:
+        _delete(f.sparkSession, [f._normlake_path])
+
+
+def _delete(spark: SparkSession, gone: list[str]) -> None:
+    paths = _written.get(spark.sparkContext.applicationId, [])
     for path in gone:
-        at = jvm.org.apache.hadoop.fs.Path(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    paths[:] = [p for p in paths if p not in gone]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,9 @@ LEAST_SLUGS, HEAD, DAYS = 1000, 20_000, {"current": 1, "slugs": 7, "snapshot": 3
 def slugs(toc: DataFrame, least: int = LEAST_SLUGS) -> DataFrame:
     """ordinal, slug from a table of contents (value: its text) that links <host>/<slug>/xml.zip; fails below `least`."""
     found = F.regexp_extract_all("value", F.lit("/([A-Za-z0-9_.-]+)/xml\\.zip"), F.lit(1))
-    out = toc.select(F.posexplode(F.array_distinct(found)).alias("ordinal", "slug"))
+    # Several rows are one list: a table of contents is small, and its rows follow each other by their text.
+    whole = toc.groupBy().agg(F.flatten(F.sort_array(F.collect_list(F.struct("value", found.alias("f"))))["f"]).alias("f"))
+    out = whole.select(F.posexplode(F.array_distinct("f")).alias("ordinal", "slug"))
     if (n := out.count()) < least:
         raise ValueError(f"a table of contents with {n} laws is broken")
     return out
@@ -70,6 +75,48 @@ def cached(table: DataFrame, now: Column, kind: str) -> DataFrame:
     return table.where(F.col("stored_ts") >= now - F.make_dt_interval(F.lit(DAYS[kind])))
 
 
+def store(entries: DataFrame, path: str, now: Column) -> None:
+    """Add entries (key, value) to the cache at `path`, as of now; of several entries of a key, lookup() takes the newest."""
+    entries.select("key", now.cast("timestamp").alias("stored_ts"), "value").write.mode("append").parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, now: Column, kind: str) -> DataFrame:
+    """key, value: the newest living entry of each key of the cache at `path`."""
+    table = spark.read.schema("key string, stored_ts timestamp, value string").parquet(path)
+    return cached(table, now, kind).groupBy("key").agg(F.max_by("value", "stored_ts").alias("value"))
+
+
+class RateLimited(Exception):
+    """The source takes no more requests."""
+
+
+#: Answers of a source: the status codes that mean "no more requests".
+LIMIT_CODES = (403, 429)
+
+
+def fetched(wanted: DataFrame, get: Callable[[str, str], tuple[int, str]]) -> DataFrame:
+    """slug, sha, xml, fetch_state (ok, rate_limited, error) of wanted versions (slug, sha): get(slug, sha) gives a status code and a text.
+
+    `get` travels to the tasks; a failure is a state of its row, never of the job. Each version is asked for once.
+    """
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for slug, sha in zip(f["slug"], f["sha"]):
+                try:
+                    code, text = get(slug, sha)
+                    state = "ok" if 200 <= code < 300 else "rate_limited" if code in LIMIT_CODES else "error"
+                except RateLimited:
+                    text, state = None, "rate_limited"
+                except Exception:  # Whatever a given fetcher raises is an answer that failed.
+                    text, state = None, "error"
+                out.append((slug, sha, text if state == "ok" else None, state))
+            yield pd.DataFrame(out, columns=["slug", "sha", "xml", "fetch_state"])
+
+    return wanted.select("slug", "sha").distinct().mapInPandas(run, "slug string, sha string, xml string, fetch_state string")
+
+
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
     """Versions from Parquet; a version that could not be fetched has a fetch_state other than ok and no xml."""
     return spark.read.parquet(path)
