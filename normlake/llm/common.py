@@ -55,9 +55,9 @@ _made: dict = {}
 
 
 def once(key: str, make: Callable):
-    """make(), once for each key and Python worker; the last four results stay."""
+    """make(), once for each key and Python worker; the last two results stay."""
     if key not in _made:
-        while len(_made) >= 4:
+        while len(_made) >= 2:
             _made.pop(next(iter(_made)))
         _made[key] = make()
     return _made[key]
@@ -80,12 +80,27 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 != 0, F.lit(False))
 
 
-def sample_of(rows: DataFrame, key: Column, most: int) -> DataFrame:
-    """A reproducible sample by hash of about `most` rows (all, if fewer), whatever the table's size; never over 1.1 times `most`."""
+def sample_of(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """One row of each of `most` keys (of all, if fewer): the least in the other columns. The keys are those with the smallest hashes, so the
+    choice is the same whatever the rows' order, partitions or repetitions, and is full as long as there are keys.
+
+    rows is read two to four times, but for the last time with its keys alone. At most `most` hashes come to the driver.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(7)), 1)
     n = rows.count()
-    if n <= most:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(int(most * 1.1))
+    share = min(1.0, 4 * most / max(1, n))
+    while True:
+        # With many repetitions few of the hashes below the share differ: then more of them are looked at.
+        some = rows.select(h.alias("_h")).where(F.col("_h") <= min(int(share * (1 << 63)), (1 << 63) - 1))
+        picked = [r[0] for r in some.distinct().orderBy("_h").limit(most).collect()]
+        if share >= 1 or len(picked) == most:
+            break
+        share = min(1.0, share * 64)
+    kept = rows.where(h <= (picked[-1] if picked else -1))
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return kept.distinct()
+    return kept.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_o")).select(*keys, "_o.*").select(*rows.columns)
 
 
 def prefix_sum(df: DataFrame, by: str, order: str, bucket: Column, value: str, out: str) -> DataFrame:
