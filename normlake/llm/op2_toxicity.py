@@ -1,17 +1,19 @@
 """Toxicity by a support vector machine over a gapped subsequence string kernel with Nystroem landmarks.
 
-The kernel of two strings sums, over all sequences of three characters that both hold in order within six places, LAMBDA to the number of
-places skipped in each: gaps and inserted characters cost weight but break nothing. Landmarks are character runs that labelled toxic texts
-hold far more often than others, and some plain words. A word's similarity to a landmark is the root of their kernel by the landmark's own
-(1 if the word holds it whole). A text is described by its most similar word and by its share of similar words, for each landmark, both
-whitened by the landmarks' kernel matrix (Nystroem). A squared-hinge support vector machine is trained on these in the primal, and a sigmoid
-turns its margin into a score. Words are lower-cased and lose all but letters (digits and signs that stand for letters are read as those);
-four or more single letters in a row are also read as one word.
+The kernel <v, w> of two words sums, over all sequences of three characters that both hold in order within SPAN places, LAMBDA to the number
+of places skipped in each: gaps and inserted characters cost weight but break nothing. Words have k(v, w) = (<v, w> / (<v, v> <w, w>) ** BARE)
+** SHARP, and texts K(X, Y) = (|X| |Y|) ** -LONG times the sum of k over all pairs of their words: scaled powers and sums of a kernel are
+kernels. Nystroem's map of a text is its vector of K with the landmarks, each taken as a text of one word, times the inverse root of the
+landmarks' own kernel matrix. Landmarks are character runs that differ most between labelled toxic and other texts, and some plain words. A
+squared-hinge support vector machine is trained on the map in the primal, and a sigmoid turns its margin into a score.
+
+Words are lower-cased and lose all but letters (digits and signs that stand for letters are read as those); SPELLED single letters or more in a
+row are also read as one word, wherever in the text.
 
 The fit takes at most `most` labelled documents of at most `chars` characters, chosen by hash: a bounded sample; scoring takes whole texts.
 
 Defined results: null or empty text is scored as a text without words; with no labels, or labels of one kind, every score is that kind's
-(0 if there is none); rows with a null id teach nothing; repeated rows are scored each; repeated labels teach each. Extra columns are ignored.
+(0 if there is none); rows with a null id teach nothing; repeated rows are scored each; of repeated labels and of repeated rows one teaches. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +31,16 @@ from normlake.llm import common
 MOST, CHARS = 6000, 20_000
 LANDMARKS, PLAIN = 64, 12
 LAMBDA, SPAN = 0.8, 6
-RIDGE = 1e-3
-#: Weight in the fit of toxic texts with gaps put in.
-GAPPED = 0.25
+RIDGE = 1e-6
+#: Weight in the fit of texts with gaps put in.
+GAPPED = 0.5
+#: Exponents of the kernel: of a word's own length, of the words' kernel, of a text's number of words.
+BARE, SHARP, LONG = 0.2, 4, 0.7
+#: Least eigenvalue of the landmarks' matrix that is taken as it is.
+LEAST = 0.05
 #: Words that a worker keeps at most; then it starts anew.
 CACHE = 120_000
-#: Similarity from which on a word counts towards the share of similar words, and the share of words just like a landmark that is full.
-NEAR, FULL = 0.85, 0.015
+SPELLED = 3
 HASH_BITS = 22
 _PAIRS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 _READ = str.maketrans("013457@$", "oieastas")
@@ -53,7 +58,7 @@ def plain(token: str) -> str:
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, sequence as a hash, weight) of all sequences of three characters of `^word` within SPAN places."""
+    """(word, sequence as a hash, weight) of all sequences of three characters of `^word` within SPAN places; one that comes twice is there twice."""
     lengths = np.array([len(w) + 2 for w in words], np.int64)
     c = np.frombuffer(("".join(f"^{w} " for w in words) + " " * SPAN).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(words)), lengths)
@@ -72,80 +77,99 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(who), np.concatenate(what), np.concatenate(weight)
 
 
+def own(who: np.ndarray, what: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """<w, w> of n words by their subsequences(): the squares of weights, added up over a sequence's occurrences first."""
+    key = who << HASH_BITS | what
+    order = np.argsort(key)
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    total = np.add.reduceat(weight[order], first) if len(first) else np.zeros(0)
+    return np.maximum(np.bincount(key[order[first]] >> HASH_BITS, total * total, minlength=n), 1e-9)
+
+
 class Kernel:
-    """Similarities of words to landmarks."""
+    """k of words with the landmarks."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks, m = landmarks, len(landmarks)
-        who, what, weight = subsequences([x.lstrip("^") for x in landmarks])
+        marked = [k for k, x in enumerate(landmarks) if x.startswith("^")]
+        who, what, weight = subsequences([landmarks[k].lstrip("^") for k in marked])
         # A landmark from inside of words has no sequence with the mark of a word's beginning.
-        inside = np.array([not x.startswith("^") for x in landmarks])
-        marks, _, _ = subsequences([""]) if not m else (None, None, None)
+        inside = [k for k, x in enumerate(landmarks) if not x.startswith("^")]
+        who2, what2, weight2 = _unmarked([landmarks[k] for k in inside])
+        who = np.concatenate([np.array(marked, np.int64)[who], np.array(inside, np.int64)[who2]])
+        what, weight = np.concatenate([what, what2]), np.concatenate([weight, weight2])
         seqs, rows = np.unique(what, return_inverse=True)
-        table = np.zeros((len(seqs), m), np.float32)
+        table = np.zeros((len(seqs), m))
         np.add.at(table, (rows, who), weight)
-        if inside.any():
-            own, seq, w = _unmarked([x for x, i in zip(landmarks, inside) if i])
-            at = np.flatnonzero(inside)
-            table[:, at] = 0
-            np.add.at(table, (np.searchsorted(seqs, seq), at[own]), w)
-        self.table, self.row = table, np.full(1 << HASH_BITS, -1, np.int32)
+        self.norm = np.maximum((table**2).sum(0), 1e-9) ** BARE
+        self.gram = (table.T @ table / (self.norm[:, None] * self.norm)) ** SHARP
+        # Landmarks of each sequence, one sequence after the other: few have more than one.
+        at, self.column = np.nonzero(table)
+        self.value = (table / self.norm)[at, self.column]
+        self.first = np.searchsorted(at, np.arange(len(seqs) + 1))
+        self.row = np.full(1 << HASH_BITS, -1, np.int32)
         self.row[seqs] = np.arange(len(seqs))
-        self.self = np.maximum((table**2).sum(0), 1e-9)
-        self.gram = (table.T @ table) / np.sqrt(self.self[:, None] * self.self)
         self.known: dict[str, int] = {}
-        self.sims, self.single = np.zeros((CACHE, m), np.float32), np.zeros(CACHE, bool)
+        self.rows, self.single = np.zeros((CACHE, m), np.float32), np.zeros(CACHE, bool)
 
-    def similarities(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+    def of(self, words: list[str]) -> np.ndarray:
+        m = len(self.landmarks)
+        out = np.zeros((len(words), m), np.float32)
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             who, what, weight = subsequences(part)
             row = self.row[what]
             hit = np.flatnonzero(row >= 0)
-            hit = hit[np.argsort(who[hit], kind="stable")]
-            if not len(hit):
-                continue
-            starts = np.flatnonzero(np.diff(who[hit], prepend=-1))
-            for k in range(0, len(starts), 512):
-                first, last = starts[k], starts[k + 512] if k + 512 < len(starts) else len(hit)
-                h = hit[first:last]
-                out[at + who[hit[starts[k : k + 512]]]] = np.add.reduceat(self.table[row[h]] * weight[h, None], starts[k : k + 512] - first, axis=0)
-        return np.sqrt(np.minimum(1, out / self.self))
+            row, n = row[hit], self.first[row[hit] + 1] - self.first[row[hit]]
+            each = np.repeat(np.arange(len(hit)), n)
+            of = np.arange(len(each)) + np.repeat(self.first[row] - np.cumsum(n) + n, n)
+            dot = np.bincount(who[hit[each]] * m + self.column[of], weight[hit[each]] * self.value[of], minlength=len(part) * m).reshape(-1, m)
+            # Only words with a common sequence need their own norm.
+            some = dot.any(1)
+            if some.any():
+                its = np.flatnonzero(some[who])
+                norm = own(who[its], what[its], weight[its], len(part))[some] ** BARE
+                out[at : at + len(part)][some] = (dot[some] / norm[:, None]) ** SHARP
+        return out
 
     def ids(self, tokens: list[str]) -> list[int]:
         known = self.known
         new = [t for t in dict.fromkeys(tokens) if t not in known]
         if new:
-            if len(known) + len(new) > len(self.sims):
+            if len(known) + len(new) > len(self.rows):
                 known.clear()
                 new = list(dict.fromkeys(tokens))
-            if len(new) > len(self.sims):
-                self.sims, self.single = np.zeros((len(new), len(self.landmarks)), np.float32), np.zeros(len(new), bool)
+            if len(new) > len(self.rows):
+                self.rows, self.single = np.zeros((len(new), len(self.landmarks)), np.float32), np.zeros(len(new), bool)
             read, at = [plain(t) for t in new], len(known)
-            self.sims[at : at + len(new)] = self.similarities(read)
+            self.rows[at : at + len(new)] = self.of(read)
             self.single[at : at + len(new)] = [len(r) == 1 for r in read]
             known.update(zip(new, range(at, at + len(new))))
         return [known[t] for t in tokens]
 
-    def pooled(self, text: str | None) -> np.ndarray:
-        """For each landmark the greatest similarity of a word, and the share of similar words."""
-        m, tokens = len(self.landmarks), (text or "").split()
-        best, near, n = np.zeros(m, np.float32), np.zeros(m), max(1, len(tokens))
+    def learn(self, texts: list[str | None]) -> None:
+        """Have the words of many texts ready: worked out together they cost less than text by text."""
+        words: dict[str, None] = {}
+        for t in texts:
+            words.update(dict.fromkeys((t or "").split()))
+            if len(words) > CACHE // 2:
+                break
+        self.ids(list(words))
+
+    def text(self, text: str | None) -> np.ndarray:
+        """K of a text with each landmark. Long texts are taken in parts, but single letters in a row over their whole length."""
+        tokens = (text or "").split()
+        total, single = np.zeros(len(self.landmarks)), np.zeros(len(tokens), bool)
         for at in range(0, len(tokens), 50_000):
-            part = tokens[at : at + 50_000]
-            i = np.array(self.ids(part), np.int64)
-            sims = self.sims[i]
-            single = self.single[i]
-            best = np.maximum(best, sims.max(0))
-            near += np.maximum(0, sims - NEAR).sum(0)
-            if single.sum() >= 4:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
-                spelled = ["".join(map(plain, part[a:z])) for a, z in zip(edge[::2], edge[1::2]) if z - a >= 4]
-                if spelled:
-                    more = self.similarities(spelled)
-                    best, near = np.maximum(best, more.max(0)), near + np.maximum(0, more - NEAR).sum(0)
-        return np.concatenate([best, np.minimum(1, near / n / ((1 - NEAR) * FULL))])
+            i = np.array(self.ids(tokens[at : at + 50_000]), np.int64)
+            total += self.rows[i].sum(0)
+            single[at : at + 50_000] = self.single[i]
+        if single.sum() >= SPELLED:
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
+            spelled = ["".join(map(plain, tokens[a:z])) for a, z in zip(edge[::2], edge[1::2]) if z - a >= SPELLED]
+            if spelled:
+                total += self.of(spelled).sum(0)
+        return total / max(1, len(tokens)) ** LONG
 
 
 def _unmarked(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,19 +224,17 @@ def choose(rows: list[tuple[str, int]], n: int = LANDMARKS, n_plain: int = PLAIN
 
 
 class Model:
-    def __init__(self, landmarks: list[str], whiten: np.ndarray, weights: np.ndarray, sigmoid: tuple[float, float], constant: float | None = None):
+    """direct: one weight for each landmark, as the Nystroem map and the machine's weights are both linear in the text's K."""
+
+    def __init__(self, landmarks: list[str], direct: np.ndarray, bias: float, sigmoid: tuple[float, float], constant: float | None = None):
         self.constant = constant
         if constant is None:
-            self.kernel, self.sigmoid = Kernel(landmarks), sigmoid
-            m = len(landmarks)
-            # Whitening and weights are linear: one weight for each pooled similarity.
-            self.direct = np.concatenate([whiten @ weights[:m], whiten @ weights[m : 2 * m]])
-            self.bias = weights[-1]
+            self.kernel, self.direct, self.bias, self.sigmoid = Kernel(landmarks), direct, bias, sigmoid
 
     def score(self, text: str | None) -> float:
         if self.constant is not None:
             return self.constant
-        margin = float(self.kernel.pooled(text) @ self.direct + self.bias)
+        margin = float(self.kernel.text(text) @ self.direct + self.bias)
         a, b = self.sigmoid
         return float(1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40))))
 
@@ -226,17 +248,22 @@ def train(rows: list[tuple[str, int]]) -> tuple:
     """Arguments of Model. rows: text, 0 or 1."""
     y = np.array([1.0 if t else -1.0 for _, t in rows])
     if not len(rows) or abs(y.sum()) == len(rows):
-        return [], np.zeros((0, 0)), np.zeros(0), (0.0, 0.0), float(len(rows) > 0 and y[0] > 0)
+        return [], np.zeros(0), 0.0, (0.0, 0.0), float(len(rows) > 0 and y[0] > 0)
     landmarks = choose(rows)
     kernel = Kernel(landmarks)
-    # Toxic texts once more, with a letter put into every word: what a gap costs is learned too.
-    n, rows = len(rows), rows + [(" ".join(gapped(w) for w in t.split()), 1) for t, v in rows if v]
+    kernel.learn([t for t, _ in rows])
+    # Toxic texts, and as many others, once more with a letter put into every word: what a gap costs is learned too, and that gaps alone mean nothing.
+    n, toxic = len(rows), [t for t, v in rows if v]
+    more = [(t, 1) for t in toxic] + [(t, 0) for t, v in rows if not v][: len(toxic)]
+    rows = rows + [(" ".join(gapped(w) for w in t.split()), v) for t, v in more]
+    kernel.learn([t for t, _ in rows[n:]])
     y = np.array([1.0 if t else -1.0 for _, t in rows])
-    x = np.array([kernel.pooled(t) for t, _ in rows], float)
-    value, vector = np.linalg.eigh(kernel.gram.astype(float))
-    whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
-    m = len(landmarks)
-    x = np.column_stack([x[:, :m] @ whiten, x[:, m:] @ whiten, np.ones(len(x))])
+    x = np.array([kernel.text(t) for t, _ in rows], float)
+    value, vector = np.linalg.eigh(kernel.gram)
+    whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, LEAST))) @ vector.T
+    x = x @ whiten
+    scale = max(1e-9, float(np.sqrt((x[:n] ** 2).sum(1).mean())))
+    x = np.column_stack([x / scale, np.ones(len(x))])
     share = (y[:n] > 0).mean()
     weight = np.where(y > 0, min(4.0, (1 - share) / share) ** 0.5, 1.0)
     weight[n:] = GAPPED
@@ -249,21 +276,22 @@ def train(rows: list[tuple[str, int]]) -> tuple:
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
-    # Platt's sigmoid, by Newton's method.
-    z, t = x[:n] @ w, (y[:n] > 0).astype(float)
+    # Platt's sigmoid, by Newton's method, on the same rows: between the other texts and the toxic ones with gaps.
+    z, t, count = x @ w, (y > 0).astype(float), np.where(np.arange(len(y)) < n, 1.0, GAPPED)
     z1, ab = np.column_stack([z, np.ones(len(z))]), np.array([2.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z1 @ ab, -30, 30)))
-        ab = ab - np.linalg.solve((z1 * (p * (1 - p))[:, None]).T @ z1 + 1e-2 * np.eye(2), z1.T @ (p - t) + 1e-2 * (ab - [2.0, 0.0]))
-    return landmarks, whiten, w, (float(ab[0]), float(ab[1])), None
+        ab = ab - np.linalg.solve((z1 * (count * p * (1 - p))[:, None]).T @ z1 + 1e-2 * np.eye(2), z1.T @ (count * (p - t)) + 1e-2 * (ab - [2.0, 0.0]))
+    return landmarks, whiten @ w[:-1] / scale, float(w[-1]), (float(ab[0]), float(ab[1])), None
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, chars: int = CHARS) -> tuple:
     """From a bounded sample of the labelled documents that aren't held out and have at most `chars` characters."""
     rated = labels.where(common.learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
-    picked = common.sample_of(rated, F.col("_id"), most)
-    # At most `most` ids: bounded, so that no text has to move.
-    got = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where(F.length("text") <= chars).select(F.col("_id").cast("string").alias("k"), F.col("text").alias("t"), F.col("_toxic").alias("y")).limit(2 * most).toArrow()
+    picked = common.sample_of(rated, ["_id", "_toxic"], most)
+    # At most `most` ids: bounded, so that no text has to move. Rows that repeat a text teach once.
+    met = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where(F.length("text") <= chars).select(F.col("_id").cast("string").alias("k"), F.col("text").alias("t"), F.col("_toxic").alias("y"))
+    got = common.sample_of(common.materialize(docs.sparkSession, met), ["k", "t", "y"], most).toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("k", "t", "y"))))
     del got
     model = train([(t, y) for _, t, y in rows])
@@ -277,8 +305,10 @@ def rate(spark: SparkSession, docs: DataFrame, model: tuple, text: str = "text",
     shipped, name = common.ship(spark, model), uuid.uuid4().hex
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = common.once(name, lambda: Model(*shipped.value))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=[key, "score"])
+        m, texts = common.once(name, lambda: Model(*shipped.value)), b.column(1).to_pylist()
+        if m.constant is None:
+            m.kernel.learn(texts)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in texts], pa.float64())], names=[key, "score"])
 
     return common.arrow_map(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
 
