@@ -3,12 +3,13 @@
 P(grade > j) = sigmoid(score - threshold_j): one weight for each hashed token feature, shared by all grades, and ordered thresholds. Tokens
 are words between blanks, told as a shape (letters as a or A, digits as 9, runs of three or more as one, other characters as they are), as a
 shape pair with the token before, as "same as before" for a repeated token, and as the word itself. Features are shares of a text's tokens.
-Expected grade and the probability of a grade above the lowest come out; selection goes by that probability.
+Expected grade and the probability of a grade above the lowest come out; selection goes by that probability. In the fit all grades weigh the
+same in sum, so both are what they would be if all grades were equally frequent, not as frequent as among the ratings.
 
 The fit takes at most `most` rated documents of at most `chars` characters, chosen by hash: a bounded sample; scoring takes whole texts.
 
 Defined results: null or empty text is scored with no features; with no ratings or one grade only, every row gets that grade (0, if there is
-none) and is kept; rows with a null id teach nothing; repeated rows are scored each; repeated ratings of an id teach each. Extra columns are
+none) and is kept; rows with a null id teach nothing; repeated rows are scored each; of repeated ratings and of repeated rows one teaches. Extra columns are
 ignored by `grade` and kept by `select_good`.
 """
 
@@ -42,34 +43,53 @@ def bucket(kind: str, value: str) -> int:
     return zlib.crc32(f"{kind}{value}".encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
-def features(text: str | None, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+class Tokens:
+    """What features() needs of a token, by number: buckets of its shape and of itself, and a number for its shape. CACHE tokens at most, or one text's."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.table = np.zeros((1024, 3), np.int64)
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        new = [t for t in dict.fromkeys(tokens) if t not in self.number]
+        if len(self.number) + len(new) > CACHE:
+            self.number.clear()
+            new = list(dict.fromkeys(tokens))
+        at = len(self.number)
+        if at + len(new) > len(self.table):
+            self.table = np.concatenate([self.table[:at], np.zeros((max(at, len(new)) + len(new), 3), np.int64)])
+        for k, t in enumerate(new, at):
+            s = shape(t)
+            self.number[t] = k
+            self.table[k] = bucket("s", s), bucket("w", t), zlib.crc32(s.encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+
+
+def features(text: str | None, known: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and the share of each: up to four features for every token."""
     tokens = (text or "").split()
     if not tokens:
         return np.zeros(0, np.int64), np.zeros(0)
-    known = []
-    for t in tokens:
-        got = cache.get(t)
-        if got is None:
-            if len(cache) >= CACHE:
-                cache.clear()
-            s = shape(t)
-            got = cache[t] = (bucket("s", s), bucket("w", t), zlib.crc32(s.encode("utf-8", "surrogatepass")))
-        known.append(got)
-    k = np.array(known, np.int64)
+    n = known.numbers(tokens)
+    k = known.table[n]
     pair = (k[1:, 2] * 31 + k[:-1, 2] * 17 + 5) & ((1 << BITS) - 1)
-    same = sum(map(str.__eq__, tokens, tokens[1:]))
-    seen = np.bincount(np.concatenate([k[:, 0], k[:, 1], pair]), minlength=1 << BITS).astype(float)
-    seen[bucket("r", "")] += 3 * same
-    i = np.flatnonzero(seen)
-    return i, np.sqrt(seen[i] / len(tokens))
+    same = int((n[1:] == n[:-1]).sum())
+    all_ = np.concatenate([k[:, 0], k[:, 1], pair, np.full(3 * same, bucket("r", ""), np.int64)])
+    # A short text has few buckets: they are sorted, not counted over the whole width.
+    if len(all_) < 1 << BITS:
+        i, seen = np.unique(all_, return_counts=True)
+    else:
+        seen = np.bincount(all_, minlength=1 << BITS)
+        i = np.flatnonzero(seen)
+        seen = seen[i]
+    return i, np.sqrt(seen / len(tokens))
 
 
 class Model:
     """grades, weights, thresholds (ordered)."""
 
     def __init__(self, grades: list[int], weights: np.ndarray, thresholds: np.ndarray):
-        self.grades, self.weights, self.thresholds, self.cache = grades, weights, thresholds, {}
+        self.grades, self.weights, self.thresholds, self.cache = grades, weights, thresholds, Tokens()
 
     def rate(self, text: str | None) -> tuple[float, float]:
         """Expected grade; probability of more than the lowest."""
@@ -85,10 +105,10 @@ def train(rows: list[tuple[str, int]]) -> Model:
     grades = sorted({g for _, g in rows})
     if len(grades) < 2:
         return Model(grades, np.zeros(1 << BITS), np.zeros(0))
-    cache: dict = {}
+    cache = Tokens()
     data = [(i.astype(np.int32), x.astype(np.float32)) for i, x in (features(t, cache) for t, _ in rows)]
     y = np.array([grades.index(g) for _, g in rows])
-    cache.clear()
+    del cache
     at = np.repeat(np.arange(len(data), dtype=np.int32), [len(i) for i, _ in data])
     col, val = np.concatenate([i for i, _ in data]), np.concatenate([x for _, x in data])
     del data
@@ -123,9 +143,10 @@ def train(rows: list[tuple[str, int]]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, chars: int = CHARS, rating: str = "quality") -> Model:
     """From a bounded sample of the rated documents that aren't held out and have at most `chars` characters."""
     rated = labels.where(common.learnable(F.col("doc_id")) & F.col(rating).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(rating).cast("int").alias("_grade"))
-    picked = common.sample_of(rated, F.col("_id"), most)
-    # At most `most` ids: bounded, so that no text has to move.
-    got = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where(F.length("text") <= chars).select(F.col("_id").cast("string").alias("k"), F.col("text").alias("t"), F.col("_grade").alias("g")).limit(2 * most).toArrow()
+    picked = common.sample_of(rated, ["_id", "_grade"], most)
+    # At most `most` ids: bounded, so that no text has to move. Rows that repeat a text teach once.
+    met = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where(F.length("text") <= chars).select(F.col("_id").cast("string").alias("k"), F.col("text").alias("t"), F.col("_grade").alias("g"))
+    got = common.sample_of(common.materialize(docs.sparkSession, met), ["k", "t", "g"], most).toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("k", "t", "g"))))
     del got
     model = train([(t, g) for _, t, g in rows])
