@@ -7,7 +7,7 @@ updates under an elastic net (most stay zero), then a temperature is fitted on r
 The fit takes at most `most` labelled documents of at most `chars` characters, chosen by hash: a bounded sample; scoring takes whole texts.
 
 Defined results: null text, empty text or text without a letter gives `und` and score 0; with nothing to learn from, every text is `und`;
-rows with a null id or null lang teach nothing; repeated rows are scored each; a tie goes to the language first in order. Extra columns are ignored.
+rows with a null id or null lang teach nothing; repeated rows are scored each, and of rows that share id and lang the least text teaches; a tie goes to the language first in order. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,11 +121,11 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = MOST, chars: int = CHARS) -> Model:
     """The model from a bounded sample of the labelled rows that aren't held out; a sampled text is given by at most `chars` characters from its middle on."""
-    usable = docs.where(common.learnable(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    picked = common.sample_of(usable.select(key, lang, text), F.col(key), most)
     # Where the sample of a long text begins is its middle.
     start = F.greatest(F.lit(1), ((F.length(text) - chars) / 2).cast("int") + 1)
-    got = picked.select(F.col(key).cast("string").alias("k"), F.substring(F.col(text), start, F.lit(chars)).alias("t"), F.col(lang).alias("l")).toArrow()
+    usable = docs.where(common.learnable(F.col(key)) & F.col(lang).isNotNull())
+    named = usable.select(F.col(key).cast("string").alias("k"), F.substring(F.col(text), start, F.lit(chars)).alias("t"), F.col(lang).alias("l"))
+    got = common.sample_of(named, ["k", "l"], most).where("t IS NOT NULL").toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("k", "t", "l"))), key=lambda r: (zlib.crc32(r[0].encode()), r))
     del got
     model = train([(t, lang) for _, t, lang in rows])
