@@ -3,7 +3,9 @@
 Slot j of the mix is the point frac(j / golden ratio), taken on the lattice of 2 ** 31 points; the cumulative target shares map points to
 sources, so that every stretch of the mix holds each source in proportion. The slots of a source are ranked; slot k takes the k-th block
 of `block_words` words from the source's documents in shuffled order (by MD5 of the id), again from the start when they end, three
-times at most. Targets stop at three times the source's size and the excess is shared out by weight until none is above.
+times at most. Points give a source its number of blocks but for a few: the schedule's end adds those it lacks, and a source's last block is
+cut, so that it gives its target to the word. Targets stop at three times the source's size and the excess is shared out by weight until none
+is above.
 
 Nothing is gathered by source in one task: ranks and offsets come from sums over buckets first, and blocks meet documents by (source, block).
 
@@ -22,7 +24,7 @@ from normlake.llm import common
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
-BLOCK_WORDS = 64
+BLOCK_WORDS = 1024
 #: 2 ** 31 / golden ratio, odd: the lattice of slot points.
 POINTS, STEP = 1 << 31, 1327217885
 #: Slots that are ranked together before their counts are added up; cells of the interval in which points meet sources.
@@ -55,14 +57,25 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, epochs: int = EPOCHS) ->
 
 
 def schedule(spark: SparkSession, shares: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """slot, nth (its source), rank (from 0, within the source). shares: what targets() returns."""
+    """slot, nth (its source), rank (from 0, within the source): as many slots of a source as its target has blocks. shares: what targets() returns."""
     total = shares.agg(F.sum("source_size")).first()[0] or 0
-    slots = spark.range(-(-total // block_words)).withColumnRenamed("id", "slot")
+    end = -(-total // block_words)
+    slots = spark.range(end).withColumnRenamed("id", "slot")
     slots = slots.withColumn("point", F.pmod(F.pmod(F.col("slot"), F.lit(POINTS)) * STEP, F.lit(POINTS)) / F.lit(float(POINTS)))
     slots = slots.withColumn("cell", F.floor(F.col("point") * CELLS))
     cells = shares.where("high > low").select("nth", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
     dealt = slots.join(cells, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("slot", "nth", F.lit(1).cast("bigint").alias("one"))
-    return common.prefix_sum(dealt, "nth", "slot", F.floor(F.col("slot") / RUN), "one", "rank").select("slot", "nth", "rank")
+    ranked = common.materialize(spark, common.prefix_sum(dealt, "nth", "slot", F.floor(F.col("slot") / RUN), "one", "rank").select("slot", "nth", "rank"))
+    # What the points lack of a source's blocks comes at the end, source by source; what they have too much goes.
+    due = shares.select("nth", F.ceil(words_due() / block_words).alias("blocks"))
+    given = due.join(ranked.groupBy("nth").agg(F.count(F.lit(1)).alias("n")), "nth", "left").select("nth", "blocks", F.coalesce("n", F.lit(0)).alias("n"))
+    more = given.where("blocks > n").select("nth", F.explode(F.sequence("n", F.col("blocks") - 1)).alias("rank")).select((F.lit(end) + F.col("nth")).cast("bigint").alias("slot"), "nth", F.col("rank").cast("bigint").alias("rank"))
+    return ranked.join(due, "nth").where(F.col("rank") < F.col("blocks")).select("slot", "nth", "rank").unionAll(more)
+
+
+def words_due() -> Column:
+    """A source's target in whole words."""
+    return F.round("target").cast("bigint")
 
 
 def mix_of(spark: SparkSession, docs: DataFrame, block_words: int = BLOCK_WORDS, epochs: int = EPOCHS) -> DataFrame:
@@ -77,11 +90,11 @@ def mix_of(spark: SparkSession, docs: DataFrame, block_words: int = BLOCK_WORDS,
     placed = common.materialize(spark, placed)
     slots = schedule(spark, shares, block_words).select("nth", F.col("rank").alias("block"))
     # Pass e over a source begins at e x source_size: one tape, cut into equal blocks, of which those with a slot are taken.
-    passes = placed.select("nth", "source_size", "offset", "size", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("pass"))
+    passes = placed.select("nth", "source_size", "offset", "size", words_due().alias("due"), F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("pass"))
     begin, end = F.col("pass") * F.col("source_size") + F.col("offset"), F.col("pass") * F.col("source_size") + F.col("offset") + F.col("size")
     met = passes.withColumn("begin", begin).withColumn("end", end).withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block_words), F.floor((F.col("end") - 1) / block_words))))
-    words = F.least("end", (F.col("block") + 1) * block_words) - F.greatest("begin", F.col("block") * block_words)
-    met = met.select(F.col("nth").alias("_n"), F.col("offset").alias("_o"), "block", words.alias("words"), F.col("nth"))
+    words = F.least("end", (F.col("block") + 1) * block_words, "due") - F.greatest("begin", F.col("block") * block_words)
+    met = met.where("block * %d < due" % block_words).select(F.col("nth").alias("_n"), F.col("offset").alias("_o"), "block", F.greatest(words, F.lit(0)).alias("words"), F.col("nth"))
     taken = met.join(slots, ["nth", "block"]).groupBy("_n", "_o").agg(F.sum("words").alias("taken"))
     out = placed.join(taken, (F.col("nth") == F.col("_n")) & (F.col("offset") == F.col("_o")), "left")
     names = ("doc_id", "source", "size", "source_size", "target")
@@ -99,12 +112,7 @@ s1 AS (SELECT *, CASE nth % 3 WHEN 1 THEN 5.0::DOUBLE WHEN 2 THEN 2.0::DOUBLE EL
 s2 AS (SELECT *, cap / weight AS ratio, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / sum(weight) OVER (ORDER BY cap / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
 lv AS (SELECT level AS l FROM s2 WHERE level * weight <= cap ORDER BY ratio, nth LIMIT 1),
 s3 AS (SELECT source, source_size, nth, round(least(CAST(cap AS DOUBLE), coalesce(l * weight, 0.0)), 6) AS target FROM s2 LEFT JOIN lv ON true),
-s4 AS (SELECT *, sum(target) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () AS high FROM s3),
-s5 AS (SELECT *, coalesce(lag(high) OVER (ORDER BY nth), 0.0) AS low FROM s4),
-slots AS (SELECT slot, ((slot % 2147483648) * 1327217885) % 2147483648 / 2147483648.0::DOUBLE AS point FROM range(CAST((SELECT ceil(sum(source_size) / 64.0) FROM s0) AS BIGINT)) t(slot)),
-ranked AS (SELECT nth, count(*) AS n FROM slots JOIN s5 ON point >= low AND point < high GROUP BY nth),
-placed AS (SELECT sized.*, s5.nth, source_size, target, coalesce(sum(size) OVER (PARTITION BY s5.nth ORDER BY mixed, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM sized JOIN s5 ON sized.source IS NOT DISTINCT FROM s5.source)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE
-greatest(0, least(o + size, coalesce(n, 0) * 64) - o) + greatest(0, least(source_size + o + size, coalesce(n, 0) * 64) - source_size - o) + greatest(0, least(2 * source_size + o + size, coalesce(n, 0) * 64) - 2 * source_size - o) END AS BIGINT) AS taken
-FROM placed LEFT JOIN ranked USING (nth)
+placed AS (SELECT sized.*, s3.nth, source_size, target, coalesce(sum(size) OVER (PARTITION BY s3.nth ORDER BY mixed, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM sized JOIN s3 ON sized.source IS NOT DISTINCT FROM s3.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(o + size, due) - o) + greatest(0, least(source_size + o + size, due) - source_size - o) + greatest(0, least(2 * source_size + o + size, due) - 2 * source_size - o) AS BIGINT) AS taken
+FROM (SELECT *, CAST(round(target) AS BIGINT) AS due FROM placed)
 """
