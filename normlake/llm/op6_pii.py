@@ -51,19 +51,19 @@ _UNIT = re.compile(rf"({_WORD})|([0-9]+)|({_DOTTED})", re.I)
 _GAP = re.compile(r"[\s,]*")
 #: Digits that such a run has at least, unless three spelled dots part it into an address.
 _LEAST = 7
-#: Their names, and those of dots, as words of op10's kind.
-_NAMED = dict.fromkeys((w.encode() for w in _DIGITS), 1) | dict.fromkeys((w.encode() for w in _DOTS), 2)
+#: Their names (1), those of dots (2) and of at signs (3), as words of op10's kind.
+_ATS = ("at", "arroba", "arobase", "ät")
+_NAMED = dict.fromkeys((w.encode() for w in _DIGITS), 1) | dict.fromkeys((w.encode() for w in _DOTS), 2) | dict.fromkeys((w.encode() for w in _ATS), 3)
 _PLUS = re.compile(r"(?<![^\W_])plus\s+$", re.I)
 # Runs of blanks, and what is before a plain `at`, are tried once, not from each of their characters.
-_AT_WORD, _DOT_WORD, _OPEN, _CLOSE = "(?:at|arroba|arobase|ät)", f"(?:{_DOTTED})", r"[\[({<]\s*", r"\s*[\])}>]"
+_AT_WORD, _DOT_WORD, _OPEN, _CLOSE = f"(?:{'|'.join(_ATS)})", f"(?:{_DOTTED})", r"[\[({<]\s*", r"\s*[\])}>]"
 _AT = re.compile(rf"(?:(?<!\s)\s++)?{_OPEN}{_AT_WORD}{_CLOSE}\s*", re.I)
 _DOT = re.compile(rf"(?:(?<!\s)\s++)?{_OPEN}{_DOT_WORD}{_CLOSE}\s*", re.I)
 # An address with plain words for its signs, or with some in brackets.
 _ANY_DOT = rf"(?:\s+{_DOT_WORD}\s+|\s*{_OPEN}{_DOT_WORD}{_CLOSE}\s*)"
 _PLAIN = re.compile(rf"(?<=[A-Za-z0-9_%+.-])(\s+{_AT_WORD}\s+|\s*{_OPEN}{_AT_WORD}{_CLOSE}\s*|@)[A-Za-z0-9-]+(?:(?:{_ANY_DOT}|\.)[A-Za-z0-9-]+)+", re.I)
 _PLAIN_DOT = re.compile(_ANY_DOT, re.I)
-#: A text without any of these has no sign to undo; parts of a text between words.
-_SIGN, _BETWEEN = re.compile("dot|punkt|punto|point|at|arroba|arobase|ät", re.I), re.compile(r"[\W_]")
+_BETWEEN = re.compile(r"[\W_]")
 
 
 def _luhn(digits: str) -> bool:
@@ -152,22 +152,29 @@ def _digit_edits(text: str) -> list:
     return out
 
 
-def _spelled(low: str) -> bool:
-    """Whether a spelled digit stands beside another one, a spelled dot or digits, or a spelled dot between digits."""
+def _words(text: str) -> tuple[list[bytes], bytes]:
+    """The words of a text, lower-cased, and the kind of each (see _NAMED; 0: none)."""
+    low = text.lower()
+    low = low if text.isascii() else _BETWEEN.sub(" ", low)
     words = low.encode("utf-8", "surrogatepass").translate(FOLD).split()
-    kinds = bytes(map(_NAMED.get, words, repeat(0)))
+    return words, bytes(map(_NAMED.get, words, repeat(0)))
+
+
+def _spelled(words: list[bytes], kinds: bytes) -> bool:
+    """Whether a spelled digit stands beside another one, a spelled dot or digits, or a spelled dot between digits."""
     for kind, both in ((1, any), (2, all)):
         at = kinds.find(kind)
         while at >= 0:
-            if both(0 <= k < len(words) and (kinds[k] or words[k].isdigit()) for k in (at - 1, at + 1)):
+            if both(0 <= k < len(words) and (kinds[k] in (1, 2) or words[k].isdigit()) for k in (at - 1, at + 1)):
                 return True
             at = kinds.find(kind, at + 1)
     return False
 
 
-def _sign_edits(text: str) -> list:
-    found = [(m.start(), m.end(), "@") for m in _AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]
-    for m in _PLAIN.finditer(text):
+def _sign_edits(text: str, at: bool, dot: bool) -> list:
+    """at, dot: whether a word for that sign stands in the text."""
+    found = [(m.start(), m.end(), "@") for m in (_AT.finditer(text) if at else ())] + [(m.start(), m.end(), ".") for m in (_DOT.finditer(text) if dot else ())]
+    for m in _PLAIN.finditer(text) if at or dot and "@" in text else ():
         found += [(m.start(1), m.end(1), "@")] if m[1] != "@" else []
         found += [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(text, m.end(1), m.end())]
     out: list = []
@@ -178,16 +185,16 @@ def _sign_edits(text: str) -> list:
 
 
 def all_spans(text: str) -> tuple[list, list]:
-    """Base spans; all spans: those and the ones found in the normalised text, mapped back."""
-    base, low = base_spans(text), text.lower()
-    odd = not text.isascii() and _ODD.search(text) is not None
-    signs = _SIGN.search(text) is not None
-    if not text.isascii():
-        low = _BETWEEN.sub(" ", low)
-    if not (odd or signs or _spelled(low)):
-        return base, base
-    tape = None
-    for edits in (_odd_edits, _digit_edits, _sign_edits):
+    """Base spans; all spans: those and the ones found in the normalised text, mapped back. Which words a text has tells what may be undone in it."""
+    base, tape = base_spans(text), None
+    if not text.isascii() and (e := _odd_edits(text)):
+        tape = Tape(text)
+        tape.rewrite(e)
+    words, kinds = _words(tape.text if tape else text)
+    at, dot = 3 in kinds, 2 in kinds
+    steps = [_digit_edits] if _spelled(words, kinds) else []
+    steps += [lambda t: _sign_edits(t, at, dot)] if at or dot else []
+    for edits in steps:
         if e := edits(tape.text if tape else text):
             tape = tape or Tape(text)
             tape.rewrite(e)
