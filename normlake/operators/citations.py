@@ -1,4 +1,8 @@
-"""Cleaned pages to citations: one text for each document, reading, pages of offsets, checks of codes and contexts."""
+"""Cleaned pages to citations: one text for each document, reading, pages of offsets, checks of codes and contexts.
+
+Defined results: doc_id has any type, and its null is a document; null texts and documents without a sign give no citation; a text of any
+length is read whole; repeated pages are read each; empty tables give empty results; other columns are left out.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Pages (doc_id, page, raw) to cleaned pages: repairs, repeated edges, register pages, warnings."""
+"""Pages (doc_id, page, raw) to cleaned pages: repairs, repeated edges, register pages, warnings.
+
+Defined results: a null text is an empty page; pages without a doc_id are one document; repeated pages are pages each; equal page numbers
+are ordered by their texts; empty tables give empty results; other columns are left out.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Which text items does a snippet cover? Matching on a stream without blanks."""
+"""Which text items does a snippet cover? Matching on a stream without blanks.
+
+Defined results: null strings are empty; targets under two characters and rows without doc_id or page hit nothing; repeated targets hit once;
+every occurrence counts, overlapping ones too; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

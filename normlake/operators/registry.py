@@ -1,4 +1,8 @@
-"""Law codes: a dictionary frame with a row for each key, and the resolution of codes in a fixed order."""
+"""Law codes: a dictionary frame with a row for each key, and the resolution of codes in a fixed order.
+
+Defined results: a null code has no verdict, an empty one is unknown; of slugs that share a key the one with the greatest ordinal counts, of
+slugs with a year the greatest; an empty list of slugs leaves the fixed tables; other columns of the codes are kept.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Law texts: lists of slugs, versions (slug, sha, commit_ts, is_current, xml, fetch_state), their norms, a cache with lifetimes."""
+"""Law texts: lists of slugs, versions (slug, sha, commit_ts, is_current, xml, fetch_state), their norms, a cache with lifetimes.
+
+Defined results: a null text has no norms and no dates; of a label that comes twice in a law the first counts; repeated versions give equal
+norms once; entries without a time have expired; empty tables give empty results, but an empty table of contents is an error.
+"""
 
 from __future__ import annotations
 

@@ -2,6 +2,8 @@
 
 Citations run over page breaks and headers repeat over pages, so that the unit of the stream is a document, not a page. Nothing is kept
 between batches; a batch that is run again writes the same rows to the same place.
+
+Defined results: those of the batch operators; a null or empty array of pages is a document without pages; an empty batch writes an empty one.
 """
 
 from __future__ import annotations

@@ -54,16 +54,18 @@ def test_register_pages(spark):
 
 
 def test_checks(spark):
-    assert found(spark, "§ 7 BGB1 gilt.") == [("§ 7 BGB", 1, "bgb")]
-    assert found(spark, "§ 5 NJW gilt.") == [("§ 5", 1, "[?]")]
-    assert found(spark, "§ 3 Abs. 1 Der Vertrag") == [("§ 3 Abs. 1", 1, "[?]")]
-    assert found(spark, "§ 3 Abs. 1 XYZG gilt") == [("§ 3 Abs. 1 XYZG", 1, "xyzg")]
-    assert found(spark, "§ 1 Das Handelsrecht") == [("§ 1", 1, "[Verweis]")]
-    assert found(spark, "§ 242 Rn. 5 sagt") == [("§ 242", 1, "[Verweis]")]
-    assert found(spark, "Brox/Walker, SchuldR, § 22, Rn. 58") == [("§ 22", 1, "[Verweis]")]
-    assert found(spark, "Schmidt, 5. Aufl. 1999, § 26 II 1 sagt") == [("§ 26 Abs. 2 S. 1", 1, "[Verweis]")]
-    assert found(spark, "§ 2501 BGB, Art. 2501 GG") == [("Art. 2501 GG", 1, "gg")]
-    assert found(spark, "nach § 823, 1000 Euro") == [("§ 823", 1, "[?]")] and len(found(spark, "§ 133, 157 BGB")) == 2
+    """Each text is a document of its own."""
+    want = {
+        "§ 7 BGB1 gilt.": [("§ 7 BGB", "bgb")], "§ 5 NJW gilt.": [("§ 5", "[?]")], "§ 3 Abs. 1 Der Vertrag": [("§ 3 Abs. 1", "[?]")], "§ 3 Abs. 1 XYZG gilt": [("§ 3 Abs. 1 XYZG", "xyzg")],
+        "§ 1 Das Handelsrecht": [("§ 1", "[Verweis]")], "§ 242 Rn. 5 sagt": [("§ 242", "[Verweis]")], "Brox/Walker, SchuldR, § 22, Rn. 58": [("§ 22", "[Verweis]")],
+        "Schmidt, 5. Aufl. 1999, § 26 II 1 sagt": [("§ 26 Abs. 2 S. 1", "[Verweis]")], "§ 2501 BGB, Art. 2501 GG": [("Art. 2501 GG", "gg")], "nach § 823, 1000 Euro": [("§ 823", "[?]")],
+        "§ 133, 157 BGB": [("§ 133 BGB", "bgb"), ("§ 157 BGB", "bgb")], "§ 4 Abs. 2 K gilt": [("§ 4 Abs. 2", "[?]")], "§ 4 Abs. 2 a.F., S. 12 sagt": [("§ 4 Abs. 2 a.F.", "[Verweis]")],
+    }
+    df = spark.createDataFrame([(k, 1, x) for k, x in enumerate(want)], "doc_id bigint, page int, raw string")
+    got = {}
+    for r in citations.extract(cleaning.clean_pages(df), known(spark)).orderBy("doc_id", "chain_no", "ref_no").collect():
+        got.setdefault(r.doc_id, []).append((r.canonical, r.law_key))
+    assert [got[k] for k in range(len(want))] == list(want.values())
     assert found(spark, "Nach § 12 Abs. 1 gilt", implicit_code="BGB") == [("§ 12 Abs. 1 BGB", 1, "bgb")]
     assert found(spark, "§ 242 BGB Rn. 5 sagt", drop_rn=True) == []
 
