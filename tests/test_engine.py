@@ -92,7 +92,7 @@ def test_report(spark):
     got = {r.row_key: r for r in report.view(rows).collect()}
     assert got["bgb § 815"].pages == [1, 2] and got["bgb § 815"].implied_pages == [3] and got["bgb § 815"].pages_text == "1, 2, 3*"
     assert got["bgb § 815"].variants == ["§ 815 Abs. 1 BGB", "§ 815 BGB"]
-    assert {k: v for k, v in got["bgb § 815"].page_sources.items()} == {1: ["§ 815 Abs. 1 BGB", "§§ 812–822 BGB"], 2: ["§ 815 BGB"], 3: ["§ 800 ff. BGB"]}
+    assert {k: v for k, v in got["bgb § 815"].page_sources.items()} == {1: ["§ 815 Abs. 1 BGB.", "§§ 812–822 BGB"], 2: ["§ 815 BGB", "§ 814 f. BGB."], 3: ["§ 800 ff. BGB"]}
     assert got["bgb § 814"].ff == "f." and got["bgb § 814"].implied_pages == [1, 3]
     assert {k: r.bucket for k, r in got.items()} == {"bgb § 812-822": "review", "bgb § 815": "main", "bgb § 814": "main", "bgb § 800 ff.": "review", "hgb § 1-100": "review"}
     shown = report.ranked(report.view(rows))
