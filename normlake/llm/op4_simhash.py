@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from normlake import session
 from normlake.llm import common
 from normlake.llm.op10_decontaminate import FOLD
 from normlake.session import ensure_code
@@ -209,8 +210,10 @@ def components(spark: SparkSession, links: DataFrame, salts: int = 8) -> DataFra
     mark = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     was = mark(edges)
     while True:
-        edges = common.materialize(spark, star(star(edges, True), False))
-        if (now := mark(edges)) == was:
+        old, edges = edges, common.materialize(spark, star(star(edges, True), False))
+        now = mark(edges)
+        session.drop(old)
+        if now == was:
             break
         was = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -335,6 +338,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     texts = common.materialize(spark, texts.join(proposed, "node", "left").select("text_hash", "least", F.coalesce("root", "node").alias("proposed")))
     roots = components(spark, _verified(spark, texts, docs, key, text, block))
     of = common.materialize(spark, _component_ids(texts, roots, "text_hash"))
+    session.drop(classes, links, texts)
     return prints.select(key, "text_hash").join(of, "text_hash").select(key, "text_hash", "component_id")
 
 
