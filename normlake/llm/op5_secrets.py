@@ -1,12 +1,13 @@
 """Secret scans with corpus-wide ownership frequency. DataFrame functions only.
 
 Spans come from leftmost non-overlapping matches: pieces between matches (split) and the matches themselves add up to offsets in code
-points. Every candidate's value is hashed; a hash is counted once for each owner (distinct owners, then a count: no group is gathered).
-Values that `copied_from` or more owners or repositories share are widely copied examples; the others are owner-specific and live-looking.
+points. Every candidate's value is hashed; a hash is counted once for each owner and once for each repository (distinct ones, then a count: no
+group is gathered). Values that `copied_from` or more owners, or as many repositories, share are widely copied examples; the others are
+owner-specific and live-looking. Owner and repository are columns; without one for repositories, owners alone count.
 
 Kinds beyond the contract's: jwt (three-part web tokens), pem (private-key headers), vendor (prefixed vendor tokens).
 
-Defined results: null text is empty text, which has no spans; a null owner is one owner; rows that repeat doc_id and text are scanned
+Defined results: null text is empty text, which has no spans; a null owner is one owner, as is a null repository; rows that repeat doc_id and text are scanned
 each and their candidates counted once; rows with a null doc_id are scanned, and judged by their text; a document of any length is one
 row. Extra columns are ignored by `scan` and kept by `redact`.
 """
@@ -99,10 +100,18 @@ def _shown(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["begin"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _named(owner: str, repository: str | None) -> list[Column]:
+    return [F.col(owner).alias("owner"), *([F.col(repository).alias("repository")] if repository else [])]
+
+
 def judged(spark: SparkSession, found: DataFrame, copied_from: int = COPIED_FROM) -> DataFrame:
-    """found: doc_id, text_hash, owner, spans. A row for each (doc_id, text_hash) with spans, as _doc and _hash: `live` (spans of owner-specific values, in order) and n_copied."""
-    each = found.select("doc_id", "text_hash", "owner", F.explode("spans").alias("span")).withColumn("value", F.col("span.value")).distinct()
-    owners = each.select("value", "owner").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"))
+    """found: doc_id, text_hash, owner (and repository), spans. A row for each (doc_id, text_hash) with spans, as _doc and _hash: `live` (spans of owner-specific values, in order) and n_copied."""
+    names = [c for c in ("owner", "repository") if c in found.columns]
+    each = found.select("doc_id", "text_hash", *names, F.explode("spans").alias("span")).withColumn("value", F.col("span.value")).distinct()
+    # Owners and repositories go through one exchange, told apart by a number.
+    who = F.array(*(F.struct(F.lit(k).alias("as"), F.col(c).cast("string").alias("name")) for k, c in enumerate(names)))
+    by = each.select("value", F.explode(who).alias("who")).distinct().groupBy("value")
+    owners = by.agg(F.greatest(*(F.count(F.when(F.col("who.as") == k, 1)) for k in range(2))).alias("n_owners"))
     # A value that a third of all documents share is met by several tasks.
     owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salted = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(_SALTS)).cast("int"))
@@ -110,9 +119,9 @@ def judged(spark: SparkSession, found: DataFrame, copied_from: int = COPIED_FROM
     return salted.join(owners, ["value", "salt"]).groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.array_distinct(F.collect_list(F.when(~copied, F.col("span"))))).alias("live"), F.count_distinct(F.when(copied, F.col("span"))).alias("n_copied"))
 
 
-def scan(spark: SparkSession, docs: DataFrame, owner: str = "source", copied_from: int = COPIED_FROM) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, owner: str = "source", copied_from: int = COPIED_FROM, repository: str | None = None) -> DataFrame:
     """doc_id, spans (array), live (array of the owner-specific ones), n_copied: a row for each row of docs."""
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col(owner).alias("owner"), spans(F.col("text")).alias("spans"))
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *_named(owner, repository), spans(F.col("text")).alias("spans"))
     found = common.materialize(spark, found)
     some = found.where(F.size("spans") > 0)
     by = judged(spark, some, copied_from)
@@ -127,12 +136,12 @@ def masked(text: Column, found: Column, mask: str = MASK) -> Column:
     return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def redact(spark: SparkSession, docs: DataFrame, owner: str = "source", copied_from: int = COPIED_FROM) -> DataFrame:
+def redact(spark: SparkSession, docs: DataFrame, owner: str = "source", copied_from: int = COPIED_FROM, repository: str | None = None) -> DataFrame:
     """docs, all columns, with live-looking secrets in `text` masked and `n_chars`, if there, set anew. Only documents that have spans move."""
-    names, docs = docs.columns, common.numbered(docs, "doc_id", "text", "n_chars", owner)
+    names, docs = docs.columns, common.numbered(docs, "doc_id", "text", "n_chars", owner, *([repository] if repository else []))
     named = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("_spans", spans(F.col("text")))
     some = named.where(F.size("_spans") > 0)
-    found = common.materialize(spark, some.select("doc_id", "text_hash", F.col(owner).alias("owner"), F.col("_spans").alias("spans")))
+    found = common.materialize(spark, some.select("doc_id", "text_hash", *_named(owner, repository), F.col("_spans").alias("spans")))
     by = judged(spark, found, copied_from).where(F.size("live") > 0)
     hit = some.join(by, F.expr("doc_id <=> _doc AND text_hash = _hash"), "left")
     hit = hit.withColumn("_new", F.when(F.col("live").isNotNull(), masked(F.col("text"), F.col("live"))).otherwise(F.col("text")))
