@@ -4,8 +4,8 @@ A top tree of median splits, fitted to a bounded sample, deals the vectors to re
 shards of that size. Every shard's tree is built once: it splits at the median of the widest dimension and keeps the tight bounding box of
 every node. Of equal vectors only the k + 1 with the least ids enter the trees, as no query's k best can hold more.
 
-Boxes from the upper levels of all trees, BOXES at most, are known to every task. A query goes first to its home, the shard of the box in
-which the largest inner product is possible; then, with the k-th score found there, to those shards alone that have a box in which that score
+Boxes from the upper levels of all trees, BOXES at most, are known to every task. A query goes first to its home, the shard of the box whose
+middle has the largest inner product with it; then, with the k-th score found there, to those shards alone that have a box in which that score
 is possible. Within a tree it goes best-first: nodes in order of their boxes' bounds, until no box can beat the k-th best found.
 
 Queries meet a shard's tree in blocks of `block`; no task holds all vectors or all queries. Scores are integers: products are taken in double
@@ -237,7 +237,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     # Boxes are told apart by shard while there are BOXES shards at most; beyond, by groups of shards, whose boxes are put together.
     groups = min(shards, BOXES)
     low, high, owner = [], [], []
-    for r in trees.select("shard", "boxes").toLocalIterator():
+    for r in trees.select("shard", "boxes").coalesce(32).toLocalIterator():
         a, b = pickle.loads(r.boxes)
         low, high, owner = [*low, *a.astype(np.int64)], [*high, *b.astype(np.int64)], [*owner, *[r.shard * groups // shards] * len(a)]
         if len(owner) > 2 * BOXES:
@@ -258,7 +258,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
             kind = kind_of(q, np.concatenate([lo, hi]))
             bound = reach(q.astype(kind), lo.astype(kind), hi.astype(kind))
             if home:
-                best, at = own[bound.argmax(1)] if len(q) else np.zeros(0, int), b.column("no").to_numpy()
+                # Not the farthest corner but the middle of a box tells how good its vectors are: a high k-th score from the start closes most boxes.
+                middle = q.astype(float) @ (lo.astype(float) + hi.astype(float)).T
+                best, at = own[middle.argmax(1)] if len(q) else np.zeros(0, int), b.column("no").to_numpy()
                 rows, to = np.arange(len(q)), best * of // n + at % np.maximum(1, (best + 1) * of // n - best * of // n)
             else:
                 rows, to = [], []
