@@ -34,8 +34,8 @@ WINDOW = 10
 BLOCK_BYTES = 8_000_000
 #: Words that the search for places to begin looks ahead.
 AHEAD = 3
-#: Rows of hits up to which they are broadcast to the documents, where the benchmark has several blocks.
-BROADCAST_ROWS = 100_000
+#: Texts with hits, and runs and ids in them, up to which they are broadcast to the documents, where the benchmark has several blocks.
+BROADCAST_ROWS, BROADCAST_PARTS = 100_000, 1_000_000
 #: Words part at every ASCII byte but letters and digits; bytes from 0x80 on belong to words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: The same words, for counting them in the JVM.
@@ -242,7 +242,8 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str =
         both = both.unionAll(p)
     found = both.groupBy("_a", "_b").agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("i"))
     found = common.materialize(spark, found)
-    if found.count() <= BROADCAST_ROWS:
+    n, parts = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("h") + F.size("i")), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and parts <= BROADCAST_PARTS:
         met = docs.join(F.broadcast(found), (F.xxhash64(text) == F.col("_a")) & (F.xxhash64(F.lit(1), text) == F.col("_b")), "left")
     else:
         # A text that a third of all documents share is met by several tasks.
