@@ -63,3 +63,49 @@ def test_pii_spelled_between_signs_beyond_ascii():
 def test_pii_long_runs():
     for t in ("at " + "x" * 200_000, "at" + " " * 200_000 + "x"):
         assert op6_pii.all_spans(t) == ([], [])
+
+
+def test_pii_mixed_spellings():
+    for t, kind, want in [("at one two seven dot zero dot zero dot one now", 1, "one two seven dot zero dot zero dot one"), ("call +49 one seven six 555 12 34 567 ok", 3, "+49 one seven six 555 12 34 567"), ("ip 10 dot 0 punkt null dot 5.", 1, "10 dot 0 punkt null dot 5"), ("john at mail.example.com", 0, "john at mail.example.com"), ("four one one one 1111 one one one one 1111", 2, "four one one one 1111 one one one one 1111")]:
+        assert (kind, want) in [(k, t[a:b]) for k, a, b in op6_pii.all_spans(t)[1]], t
+    for t in ("un deux point trois", "neun neun, acht 555 1212 3", "one dot, two dots", "chapter one, 2 or three"):
+        assert op6_pii.all_spans(t) == ([], []), t
+
+
+def test_pii_round_trip():
+    """Identifiers disguised at random in foreign text: every span comes back as it was planted."""
+    r = random.Random(11)
+    names, look = "zero one two three four five six seven eight nine".split(), {v: k for k, v in op6_pii._LOOK.items()}
+    ascii_look = {c: k for c, k in look.items() if c.isalpha()}
+
+    def spelled(digits, sep=" "):
+        return sep.join(names[int(c)] for c in digits)
+
+    def disguised():
+        kind = r.randrange(4)
+        if kind == 0:
+            name, host, tld = ("".join(r.choices("abcdefgh", k=r.randrange(3, 8))) for _ in range(3))
+            at, dot = r.choice([" at ", " (at) ", "[at]", "@"]), r.choice([" dot ", " (dot) ", "[punkt]", "."])
+            if at == " at " or dot != " dot ":
+                made = f"{name}{at}{host}{dot}{tld}"
+            else:
+                made = f"{name}{at}{host}.{tld}"
+            if r.random() < 0.4:
+                k = r.randrange(len(name))
+                made = made[:k] + ascii_look.get(made[k], made[k]) + made[k + 1 :]
+            return 0, made
+        if kind == 1:
+            return 1, r.choice([" dot ", " punkt "]).join(spelled(str(r.randrange(256))) if r.random() < 0.7 else str(r.randrange(256)) for _ in range(4))
+        if kind == 2:
+            digits = [r.randrange(10) for _ in range(15)]
+            total = sum(d if k % 2 else (2 * d - 9 * (2 * d > 9)) for k, d in enumerate(reversed(digits)))
+            number = "".join(map(str, digits)) + str(-total % 10)
+            return 2, " ".join(spelled(number[k : k + 4]) if r.random() < 0.6 else number[k : k + 4] for k in range(0, 16, 4))
+        number = "".join(str(r.randrange(10)) for _ in range(r.randrange(9, 14)))
+        return 3, r.choice(["plus ", "+"]) + spelled(number, r.choice([" ", ", ", "\u00a0"])) if r.random() < 0.5 else f"+{number[:2]} {spelled(number[2:5])} {number[5:]}"
+
+    for _ in range(3000):
+        kind, made = disguised()
+        before, after = "Über das Maß hinaus: ", "; Füße und so weiter"
+        t = before + made + after
+        assert (kind, len(before), len(before) + len(made)) in op6_pii.all_spans(t)[1], (kind, made, op6_pii.all_spans(t))
