@@ -1,12 +1,16 @@
 """Has a cited norm changed since a document's year? Rows of the report against versions of the law.
 
 Defined results: rows without a doc_id are judged by their law alone, as their norms meet no texts; a law without versions, or with a null
-text, isn't loadable; of several versions at one time any counts; empty tables give empty results. The resolved rows are written once while
-the plan is built, as three joins begin with them.
+text, isn't loadable; of several versions at one time any counts; empty tables give empty results. What is said of a row depends on its norm
+alone, so each norm is judged once, however many documents cite it; the norms are written once while the plan is built, as three joins begin
+with them, and so are rows that materialize() has not made.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,9 @@ from normlake.operators.report import RANGE_LIMIT
 from normlake.session import materialize
 from normlake.sources import laws
 
+#: The columns of a row on which its judgement depends, beside whether it belongs to a document.
+NORM = ("law", "ai_class", "kind", "number", "number_end", "ff")
+
 
 def states(rows: DataFrame, versions: DataFrame, year: int) -> DataFrame:
     """slug, amended, now_state, now_sha, then_sha: one row for each cited law. Snapshots are looked up only for laws amended after the year."""
@@ -35,9 +42,9 @@ def numbers(number: Column, number_end: Column, ff: Column) -> Column:
 
 
 def compared(rows: DataFrame, versions: DataFrame) -> DataFrame:
-    """doc_id, row_key, n, changed, unknown: the norms of a row, those that differ between its then_sha and now_sha, and those found in neither."""
-    due = rows.where("then_sha IS NOT NULL").where(T.span_width(F.col("number"), F.col("number_end")) <= RANGE_LIMIT)
-    each = due.select("doc_id", "row_key", "slug", "kind", "then_sha", "now_sha", F.posexplode(numbers(F.col("number"), F.col("number_end"), F.col("ff"))).alias("k", "number"))
+    """norm_id, n, changed, unknown: the norms of a row, those that differ between its then_sha and now_sha, and those found in neither."""
+    due = rows.where("placed AND then_sha IS NOT NULL").where(T.span_width(F.col("number"), F.col("number_end")) <= RANGE_LIMIT)
+    each = due.select("norm_id", "slug", "kind", "then_sha", "now_sha", F.posexplode(numbers(F.col("number"), F.col("number_end"), F.col("ff"))).alias("k", "number"))
     needed = due.select("slug", F.explode(F.array("then_sha", "now_sha")).alias("sha")).distinct()
     texts = laws.norms(versions.join(needed, ["slug", "sha"], "left_semi"))
     side = lambda s: texts.select("slug", F.col("sha").alias(f"{s}_sha"), "kind", "number", F.when(F.col("text") != "", F.col("text")).alias(f"{s}_text"))
@@ -45,18 +52,30 @@ def compared(rows: DataFrame, versions: DataFrame) -> DataFrame:
     lost = F.col("then_text").isNull() & F.col("now_text").isNull()
     differs = ~lost & ~F.col("then_text").eqNullSafe(F.col("now_text"))
     listed = lambda c: F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("k", "number")))), lambda x: x["number"])
-    return both.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"), listed(differs).alias("changed"), listed(lost).alias("unknown"))
+    return both.groupBy("norm_id").agg(F.count(F.lit(1)).alias("n"), listed(differs).alias("changed"), listed(lost).alias("unknown"))
 
 
 def check(rows: DataFrame, known: DataFrame, versions: DataFrame, year: int) -> DataFrame:
     """rows with status, law_last_amended, note: the first rule that holds decides.
 
-    A source that refuses (fetch_state rate_limited) is a matter of each law here, not of all that come after it.
+    A source that refuses (fetch_state rate_limited) is a matter of each law here, not of all that come after it. Rows are read twice, for
+    their distinct norms and for the join with what is said of these, which is broadcast after a count as the dictionary is.
     """
-    cols = rows.columns
-    resolved = materialize(registry.resolve(rows, known, "law"))
+    rows = rows if hasattr(rows, "_normlake_path") else materialize(rows)
+    placed = (F.col("doc_id").isNotNull() & F.col("row_key").isNotNull()).alias("placed")
+    norms = registry.sized(materialize(judged(rows.select(*NORM, placed).distinct(), known, versions, year)))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"j.{c}")) for c in (*NORM, "placed")]
+    met = rows.select("*", placed).alias("r").join(norms.alias("j"), reduce(and_, same), "left")
+    return met.select(*(f"r.{c}" for c in rows.columns), "j.status", "j.law_last_amended", "j.note")
+
+
+def judged(norms: DataFrame, known: DataFrame, versions: DataFrame, year: int) -> DataFrame:
+    """Distinct norms (NORM, placed) with status, law_last_amended, note."""
+    cols = norms.columns
+    # Ids are fixed by writing them.
+    resolved = materialize(registry.resolve(norms, known, "law").withColumn("norm_id", F.monotonically_increasing_id()))
     whole = resolved.join(materialize(states(resolved, versions, year)), "slug", "left")
-    found = whole.join(compared(whole, versions), ["doc_id", "row_key"], "left")
+    found = whole.join(compared(whole, versions), "norm_id", "left")
     say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     law, amended, start, end = F.col("law"), F.col("amended"), f"{year}-01-01", f"{year}-12-31"
     label, width = T.norm_label(F.col("kind"), F.col("number"), F.col("number_end"), F.col("ff")), T.span_width(F.col("number"), F.col("number_end"))
