@@ -371,7 +371,7 @@ FORMS["ai_merge"] = (f"'Nach § ' || {Y} || CASE page % 2 WHEN 1 THEN ' BGB' ELS
 def ai_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without a law, in batches, answered by rule as JSON, and the answers merged in: literature, a row that is there, a new row, unsure."""
     rows = report.group(cited(spark, sf_dir, "ai_merge"))
-    open_ = ai.batched(report.ranked(report.view(rows)).where("bucket = 'uneindeutig'"), 3)
+    open_ = ai.batched(report.ranked(report.view(rows).where("bucket = 'uneindeutig'")), 3)
     of = F.col("num_int") % 4
     answer = F.struct("nr", F.when(of == 0, "verweis").when(of == 3, "unsicher").otherwise("norm").alias("typ"), F.when(of == 1, "BGB").when(of == 2, "HGB").alias("gesetz"), F.when(of == 0, "Werk").alias("werk"))
     # An answer for no row, and one of no kind, are passed over.
